@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redolent.llm import bpe, packing, setjoin
+from redolent.llm import bpe, canonical, contamination, language, packing, qa_defects, setjoin
 from redolent.llm import term_frequency as tf
 from redolent.session import materialize, table
 
@@ -24,11 +24,43 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose answer is unusable, and how."""
+    return qa_defects.defective_pairs(table(spark, d, "sample_messages"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Defective records by kind."""
+    return p2_found(spark, d).groupBy("defect").agg(F.count("*").alias("records"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """What each typed brand, name and reference means."""
+    return canonical.map_values(table(spark, d, "perfumes"), table(spark, d, "retrieval_eval_cases"), table(spark, d, "brand_list"), table(spark, d, "label_list"))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """How many typed values of each field have no entry in their list, and how many have one."""
+    return p3_found(spark, d).groupBy("field").agg(F.count("*").alias("typed"), F.count_if(F.col("ref_id") == 0).alias("unmatched"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of perfumes whose accords and notes are nearly the same set."""
     return setjoin.similar_pairs(table(spark, d, "perfumes"), "perfume_id", CSV_FIELDS, "ingested_at", similarity=0.8, least=6, names=("perfume_id_a", "perfume_id_b"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The close pairs of a training record and one of validation or test."""
+    links, _ = contamination.overlaps(table(spark, d, "sample_messages"))
+    return links.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records that stand in the training split, by split and source."""
+    links, recs = contamination.overlaps(table(spark, d, "sample_messages"))
+    return contamination.counts(links, recs)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -44,6 +76,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(materialize(p7_sequences(spark, d), "packed"), table(spark, d, "pack_limits"))
 
 
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document with words (seg_no 0) and of each of its stretches, with confidence."""
+    found = language.languages_of(table(spark, d, "documents"), table(spark, d, "language_codes"))
+    return found.select("doc_id", "seg_no", "lang", "confidence", "chars")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label, and the stretches of mixed documents."""
+    found = language.languages_of(table(spark, d, "documents"), table(spark, d, "language_codes"))
+    return language.missing_or_wrong(found).select("doc_id", "seg_no", "lang")
+
+
 _FOLD = "trim(regexp_replace(strip_accents(translate(lower(nfc_normalize({})), 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９', 'abcdefghijklmnopqrstuvwxyz0123456789')), '[^a-z0-9]+', ' ', 'g'))"
 _ONCE = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY perfume_id ORDER BY ingested_at DESC NULLS LAST, accords_csv DESC NULLS LAST, notes_csv DESC NULLS LAST) AS rn
  FROM perfumes WHERE perfume_id IS NOT NULL) WHERE rn = 1),
@@ -54,7 +98,7 @@ counts AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT perfume_i
 marked AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.1 * (SELECT count(DISTINCT perfume_id) FROM perfumes) THEN 'common' END AS mark FROM counts)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p4_found, p6_ids, p7_sequences, p7_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_unmatched, p4_found, p5_found, p5_counts, p6_ids, p7_sequences, p7_fill, p8_found, p8_languages)}
 
 SQL: dict[str, str] = {
     "p1_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
