@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from redolent.queries import lookups, search  # noqa: F401
+from redolent.queries.common import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
