@@ -62,7 +62,8 @@ def rating_text(rating: Column, votes: Column, denominator: int = 5) -> Column:
 def card(catalog: DataFrame) -> DataFrame:
     """(perfume_id, card_text): the record card; parts without data have no line."""
     line = lambda head, value: F.concat(F.lit(head), value)
-    performance = F.concat_ws(" | ", line("Longevity: ", F.format_string("%.2f/5", F.when(F.col("longevity") > 0, F.col("longevity")))), line("Sillage: ", F.format_string("%.2f/5", F.when(F.col("sillage") > 0, F.col("sillage")))))
+    of_five = lambda c: F.when(F.col(c) > 0, F.format_string("%.2f/5", F.col(c)))
+    performance = F.concat_ws(" | ", line("Longevity: ", of_five("longevity")), line("Sillage: ", of_five("sillage")))
     text = F.concat_ws(
         "\n",
         line("Name: ", F.trim("name")),

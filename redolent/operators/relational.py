@@ -52,17 +52,21 @@ def diversify(scored: DataFrame, k: int, per_brand: int | Column = 2, score: str
 
 
 def dominant(df: DataFrame, keys: list[str], least: int = 500, ratio: float = 2.0) -> DataFrame:
-    """The top member of each family with its outcome: 'dominant' if popular enough and `ratio` times the runner-up, else 'ambiguous'."""
-    w = Window.partitionBy(*keys).orderBy(F.col("popularity").desc(), F.col("rating").desc_nulls_last(), F.col("perfume_id"))
-    ranked = df.withColumns({"_rn": F.row_number().over(w), "runner_up": F.lead("popularity").over(w)})
+    """The top member of each family with its outcome: 'dominant' if popular enough and `ratio` times the runner-up, else 'ambiguous'.
+
+    Each family is cut to its first two before anything is compared, so a family of a third of all rows costs no more."""
+    order = [F.col("popularity").desc(), F.col("rating").desc_nulls_last(), F.col("perfume_id")]
+    two = top_k_per(df, keys, 2, *order)
+    ranked = two.withColumn("runner_up", F.lead("popularity").over(Window.partitionBy(*keys).orderBy("rank")))
     clear = (F.col("popularity") >= least) & (F.col("popularity") >= F.lit(ratio) * F.coalesce("runner_up", F.lit(0)))
-    return ranked.where("_rn = 1").drop("_rn").withColumn("outcome", F.when(clear, "dominant").otherwise("ambiguous"))
+    return ranked.where("rank = 1").drop("rank").withColumn("outcome", F.when(clear, "dominant").otherwise("ambiguous"))
 
 
 def round_robin(df: DataFrame, group: str, failed: Column, limit: int, tiebreak: str) -> DataFrame:
-    """Failures first, then one of each group in turn, up to the limit."""
+    """Failures first, then one of each group in turn, up to the limit (no group gives more than that)."""
     rank = F.row_number().over(Window.partitionBy(group, failed).orderBy(tiebreak))
-    return df.withColumn("turn", rank).orderBy(F.when(failed, 0).otherwise(1), "turn", group, tiebreak).limit(limit)
+    cut = df.withColumn("turn", rank).where(F.col("turn") <= limit)
+    return cut.orderBy(F.when(failed, 0).otherwise(1), "turn", group, tiebreak).limit(limit)
 
 
 def carry_forward(turns: DataFrame, session: str, order: str, ids: str, is_new: str) -> DataFrame:
@@ -76,7 +80,7 @@ def carry_forward(turns: DataFrame, session: str, order: str, ids: str, is_new:
 def sessionize(events: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
     """Events with the number of their session: a gap of more than gap_seconds starts a new one."""
     w = Window.partitionBy(user).orderBy(ts, "event_id")
-    idle = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > gap_seconds * 1_000_000
+    idle = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(w)) > gap_seconds * 1_000_000
     return events.withColumn("_new", F.coalesce(idle, F.lit(True)).cast("int")).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
 
 
@@ -125,8 +129,19 @@ def hash_order(key: Column, seed: int) -> Column:
     return (key * 2654435761 + seed) % 4294967296
 
 
-def stratified(df: DataFrame, stratum: str, key: str, ratio: float, seed: int) -> DataFrame:
-    """Rows with split 'validation' for round(ratio * n) of each stratum, chosen by hash order, else 'train'."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(rank <= F.bround(n * F.lit(ratio)), "validation").otherwise("train"))
+def stratified(df: DataFrame, stratum: str, key: str, ratio: float, seed: int, buckets: int = 1024) -> DataFrame:
+    """Rows with split 'validation' for round(ratio * n) of each stratum, chosen by hash order, else 'train'.
+
+    Strata are counted by hash bucket first; only the bucket in which the cut falls is ranked, so that no task sorts a
+    whole stratum. Rows with a null stratum are a stratum of their own."""
+    own = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.floor(F.col("_h") / (4294967296 // buckets)).cast("int")).withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    by = own.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_s")
+    cuts = by.withColumns({"_take": F.bround(F.sum("_n").over(w) * F.lit(ratio)), "_before": F.sum("_n").over(w.orderBy("_b")) - F.col("_n")})
+    cuts = cuts.select("_s", "_b", F.greatest(F.lit(0), F.least("_n", F.col("_take") - F.col("_before"))).cast("long").alias("_of"), "_n")
+    joined = own.join(cuts, ["_s", "_b"])
+    edge = (F.col("_of") > 0) & (F.col("_of") < F.col("_n"))
+    ranked = joined.where(edge).withColumn("_rn", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key)))
+    inside = ranked.withColumn("split", F.when(F.col("_rn") <= F.col("_of"), "validation").otherwise("train")).drop("_rn")
+    rest = joined.where(~edge).withColumn("split", F.when(F.col("_of") > 0, "validation").otherwise("train"))
+    return inside.unionByName(rest).drop("_s", "_b", "_h", "_of", "_n")

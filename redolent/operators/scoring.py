@@ -106,9 +106,8 @@ def graph_score(graph: Column, accords: Column, notes: Column, popularity: Colum
     return graph * 0.68 + (accords * 0.68 + notes * 0.32) * 0.24 + popularity * 0.08
 
 
-def minmax(value: Column, over) -> Column:
-    """A score on 0..1 within its window; 0 where all are equal."""
-    low, high = F.min(value).over(over), F.max(value).over(over)
+def minmax(value: Column, low: Column, high: Column) -> Column:
+    """A score on 0..1 between the least and the greatest of its group; 0 where all are equal."""
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redolent.queries import lookups, search  # noqa: F401
+from redolent.queries import conversations, corpus, lookups, search  # noqa: F401
 from redolent.queries.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from redolent.operators import filters, scoring, vector
@@ -158,7 +157,9 @@ def profile_matches(spark, d):
 
 @query("m14_minmax", f"WITH {PLAIN} SELECT perfume_id, round(CASE WHEN max(popularity) OVER w > min(popularity) OVER w THEN (popularity - min(popularity) OVER w) / (max(popularity) OVER w - min(popularity) OVER w) ELSE 0.0 END, 6) AS norm FROM items WHERE brand_norm IS NOT NULL WINDOW w AS (PARTITION BY brand_norm)")
 def minmax(spark, d):
-    return plain_items(spark, d).where("brand_norm IS NOT NULL").select("perfume_id", six(scoring.minmax(F.col("popularity"), Window.partitionBy("brand_norm")), "norm"))
+    own = plain_items(spark, d).where("brand_norm IS NOT NULL").select("perfume_id", "brand_norm", "popularity")
+    span = own.groupBy("brand_norm").agg(F.min("popularity").alias("low"), F.max("popularity").alias("high"))
+    return own.join(span, "brand_norm").select("perfume_id", six(scoring.minmax(F.col("popularity"), F.col("low"), F.col("high")), "norm"))
 
 
 @query("m18_levenshtein", f"WITH {PLAIN}, b AS (SELECT DISTINCT brand_norm FROM items WHERE length(brand_norm) >= 4), k AS (SELECT brand_norm, brand_norm[1:3] AS h FROM b) SELECT a.brand_norm AS left_brand, b.brand_norm AS right_brand, levenshtein(a.brand_norm, b.brand_norm)::INT AS distance FROM k a JOIN k b ON a.h = b.h AND a.brand_norm < b.brand_norm WHERE levenshtein(a.brand_norm, b.brand_norm) <= 2")
