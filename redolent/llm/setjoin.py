@@ -30,7 +30,7 @@ from redolent.session import materialize, slots
 #: Members in a matching key: two sets above the threshold share at least so many of their rarest members.
 KEY = 3
 #: Sets in a cell (or split of one) that one task joins.
-CELL = 40_000
+CELL = 250_000
 #: Terms above this share of all sets are ranked by their count; there can be at most mean size / share of them.
 RANKED_SHARE = 0.0005
 
@@ -86,6 +86,17 @@ def _keys(sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity:
     return sets, np.concatenate(keys), np.concatenate(rows)
 
 
+def _signatures(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit signatures of each padded set: one bit for each member. Two sets differ in at least as many members as bits."""
+    low, high = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
+    for column in sets.T:
+        bit = np.uint64(1) << (column.view(np.uint64) >> np.uint64(58))
+        upper = (column.view(np.uint64) >> np.uint64(57)) & np.uint64(1) == 1
+        low |= np.where((column != -1) & ~upper, bit, np.uint64(0))
+        high |= np.where((column != -1) & upper, bit, np.uint64(0))
+    return low, high
+
+
 def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and offsets of a list column."""
     lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
@@ -97,6 +108,7 @@ def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndar
     """Pairs of one cell with at least one member at home that reach the similarity; members of each set: rarest first."""
     sizes = np.diff(offsets)
     sets, key, row = _keys(sizes, flat, offsets, similarity)
+    signs = _signatures(sets)
     if splits > 1:
         mine = key % np.uint64(splits) == np.uint64(split)
         key, row = key[mine], row[mine]
@@ -113,8 +125,10 @@ def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndar
         left = np.repeat(np.arange(at, upto), own)
         right = left + 1 + np.arange(len(left)) - np.repeat(upto_here[at:upto] - upto_here[at], own)
         a, b = row[left], row[right]
-        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        keep = (home[a] | home[b]) & (small >= similarity * large - 1e-9)
+        most = sizes[a] + sizes[b] - 2 * np.ceil(similarity / (1 + similarity) * (sizes[a] + sizes[b]) - 1e-9).astype(np.int64)
+        # members that only one of the two has set at least as many different bits in one signature alone
+        apart = np.bitwise_count(signs[0][a] ^ signs[0][b]) + np.bitwise_count(signs[1][a] ^ signs[1][b])
+        keep = (home[a] | home[b]) & (np.abs(sizes[a] - sizes[b]) <= most) & (apart <= most)
         pair = np.unique(a[keep].astype(np.int64) * len(ids) + b[keep])
         for p in range(0, len(pair), 50_000):
             x, y = pair[p : p + 50_000] // len(ids), pair[p : p + 50_000] % len(ids)
@@ -140,7 +154,7 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
     # terms in more than a share of all sets: their number is bounded by mean size / share
     counts = own.select(F.explode("members").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > RANKED_SHARE * n + 1)
     ranked = sorted((r.n, r.t) for r in counts.collect())
-    k = pivots or int(np.clip(n // 10_000, 8, 128))
+    k = pivots or int(np.clip(n // 40_000, 8, 128))
     chosen = [r.members for r in own.orderBy(F.xxhash64(F.lit(7), "members")).limit(k).collect()]  # at most 128 sets
     hit, pivot_size = _pivot_table(chosen)
     hit_terms = np.array(sorted(hit), dtype=np.int64)
