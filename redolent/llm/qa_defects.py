@@ -181,9 +181,10 @@ def is_truncated(answer: str, ends: frozenset[str]) -> bool:
         return not re.search(r"[\"”»]$", open_end)
     last = open_end.split("\n")[-1]
     end = line_end(last)
-    if open_end != text or end not in ends:
+    known = ends | {line_end(x) for x in lines[:-1] if _ITEM.match(x)}
+    if open_end != text or end not in known:
         word = end.split()[-1] if end else ""
-        slip = open_end == text and any(len(word) >= len(k) and len(k) > 4 and k[:3] == word[:3] and abs(len(word) - len(k)) < 2 and sum(x != y for x, y in zip(word, k, strict=False)) < 3 for k in {e.split()[-1] for e in ends if e})
+        slip = open_end == text and any(len(word) >= len(k) and len(k) > 4 and k[:3] == word[:3] and abs(len(word) - len(k)) < 2 and sum(x != y for x, y in zip(word, k, strict=False)) < 3 for k in {e.split()[-1] for e in known if e})
         return not slip
     return False
 
