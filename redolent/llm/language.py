@@ -1,6 +1,6 @@
 """Document and segment languages by multilingual mixture inference.
 
-Every language has a character n-gram model (hashed 1- to 4-grams, fitted on a bounded sample of labelled documents and
+Every language has a character n-gram model (hashed 2- to 4-grams, fitted on a bounded sample of labelled documents and
 purged of wrong labels by two rounds of relabelling). A document is cut into sentences; their n-gram likelihoods under all
 languages feed an expectation-maximisation that estimates in which proportions the document mixes the languages. The
 language set is grown from one: a further language is taken if the mixture's likelihood grows by more than a penalty.
@@ -25,14 +25,15 @@ from redolent.session import spread
 
 #: Hash slots of an n-gram model, and the n-gram lengths.
 SLOTS = 1 << 16
-LENGTHS = (1, 2, 3, 4)
+LENGTHS = (2, 3, 4)
 #: Log likelihoods of overlapping n-grams count one character several times; divided by this they are about honest.
-TEMPER = 8.0
+TEMPER = 6.0
 #: Nats of tempered likelihood that a further language must win, and that a switch between sentences costs.
 PENALTY, SWITCH = 6.0, 1.0
 
 _MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|https?://\S+|\bwww\.\S+")
 _SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*\n+\s*|(?<=[.!?])(?=[^\W\d_]{2})")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LIST = re.compile(r"^\W*(?:\w+(?: \w+)?\s*:\s*)?(?:[^,.;:]{1,30},\s*){2,}[^,.;:]{1,30}\W*$")
 
 
@@ -61,7 +62,7 @@ def sentences(text: str) -> list[str]:
 
 def tells(sentence: str) -> bool:
     """Whether a sentence can be of a language: names, single words and lists of notes can't."""
-    words = re.findall(r"[^\W\d_]+", sentence)
+    words = _LETTERS.findall(sentence)
     if len(words) < 3:
         return False
     if m := _LIST.match(sentence):
@@ -70,17 +71,21 @@ def tells(sentence: str) -> bool:
     return not re.match(r"^\W*notes?\s*:", sentence)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed n-grams of a text: one row for each n, padded with slot -1."""
-    codes = np.frombuffer(f" {re.sub(r'[\W\d_]+', ' ', text).strip()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+def grams(units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, unit) for each length: the hashed n-grams of all units and the unit each stands in; none runs over two units."""
+    texts = [f"  {' '.join(_LETTERS.findall(u))}  " for u in units]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    unit = np.repeat(np.arange(len(units)), [len(t) for t in texts])
     out = []
     h = np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, max(LENGTHS) + 1):
-        if len(codes) < n:
-            break
-        h = (h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out.append(((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64) + (n - 1) * SLOTS)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        k = len(codes) - n + 1
+        h = (h[:k] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        if n in LENGTHS:
+            slot = ((h >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64) + len(out) * SLOTS
+            inside = unit[:k] == unit[n - 1 :]
+            out.append((slot[inside], unit[:k][inside]))
+    return out
 
 
 class Model:
@@ -89,17 +94,19 @@ class Model:
     def __init__(self, langs: list[str], table: np.ndarray):
         self.langs, self.table = langs, table
 
-    def score(self, text: str) -> np.ndarray:
-        """Tempered log likelihood of a text under each language."""
-        return self.of_grams(grams(text))
-
-    def of_grams(self, g: np.ndarray) -> np.ndarray:
-        return self.table[g].sum(axis=0, dtype=np.float64) / TEMPER
+    def scores(self, units: list[str]) -> np.ndarray:
+        """(units x languages) tempered log likelihoods."""
+        out = np.zeros((len(units), len(self.langs)), dtype=np.float64)
+        for slots, unit in grams(units):  # every unit has n-grams of each length, as two spaces stand on either side
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            out += np.add.reduceat(self.table[slots], starts, axis=0)
+        return out / TEMPER
 
     @staticmethod
-    def counts(rows: list[tuple[str, np.ndarray]], langs: list[str]) -> np.ndarray:
-        none = np.zeros(0, dtype=np.int64)
-        return np.stack([np.bincount(np.concatenate([none, *(g for x, g in rows if x == lang)]), minlength=SLOTS * len(LENGTHS)) for lang in langs]).astype(np.float64)
+    def counts(rows: list[tuple[str, str]], langs: list[str]) -> np.ndarray:
+        size = SLOTS * len(LENGTHS)
+        own = {k: [t for x, t in rows if x == k] for k in langs}
+        return np.stack([np.bincount(np.concatenate([g for g, _ in grams(own[k])]), minlength=size) if own[k] else np.zeros(size) for k in langs]).astype(np.float64)
 
     @classmethod
     def from_counts(cls, c: np.ndarray, langs: list[str]) -> Model:
@@ -115,10 +122,14 @@ class Model:
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], langs: list[str], rounds: int = 2) -> Model:
         """From labelled sentences; each round drops those that the model so far takes for another language."""
-        own = kept = [(lang, grams(text)) for lang, text in rows]
+        kept = rows
         for _ in range(rounds):
             model = cls.from_counts(cls.counts(kept, langs), langs)
-            kept = [(lang, g) for lang, g in own if langs[int(np.argmax(model.of_grams(g)))] == lang]
+            kept = []
+            for at in range(0, len(rows), 500):
+                part = rows[at : at + 500]
+                best = np.argmax(model.scores([t for _, t in part]), axis=1)
+                kept += [r for r, k in zip(part, best, strict=True) if langs[int(k)] == r[0]]
         return cls.from_counts(cls.counts(kept, langs), langs)
 
 
@@ -141,8 +152,10 @@ def mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[list[int], np.ndar
         return float((np.log((p * mix).sum(axis=1)) + top[:, 0]).sum()), mix
 
     chosen = [int(np.argmax(scores.sum(axis=0)))]
-    best, mix = em(chosen)
     candidates = sorted(set(np.argmax(scores, axis=1).tolist()) - set(chosen))
+    if not candidates:
+        return chosen, np.ones(1)
+    best, mix = em(chosen)
     while candidates:
         tried = [(em([*chosen, k]), k) for k in candidates]
         (value, new), k = max(tried, key=lambda t: t[0][0])
@@ -164,7 +177,7 @@ def segments(text: str | None, model: Model) -> list[Segment]:
         if not re.search(r"[^\W\d_]", whole):
             return []
         own = [whole]
-    scores = np.stack([model.score(u) for u in own])
+    scores = model.scores(own)
     sizes = np.array([len(u) for u in own], dtype=np.float64)
     chosen, mix = mixture(scores, sizes)
     s = scores[:, chosen] + np.log(mix)
@@ -245,7 +258,7 @@ def languages_of(docs: DataFrame, languages: DataFrame, model: Model | None = No
 
     label: the language its label names (null: missing or none); parts: how many languages the text is in. Null, empty
     and wordless texts have no rows; repeated rows are answered each; null doc_ids are kept; a text of one language
-    has one stretch. The model is small (2^18 slots x 9 languages) and goes to every worker.
+    has one stretch. The model is small (3 * 2^16 slots x 9 languages) and goes to every worker.
     """
     codes = label_codes(languages)
     model = model or fit(docs, languages)
