@@ -109,3 +109,29 @@ def resolve(hints: DataFrame, items: DataFrame, least: int = 500, fuzzy: bool =
         best = scored.groupBy("hint_id").agg(F.max_by("perfume_id", F.struct("ratio", "popularity", -F.col("perfume_id"))).alias("perfume_id"))
         out = out.unionByName(best.select("hint_id", "perfume_id", F.lit("fuzzy").alias("stage")))
     return hints.select("hint_id").join(out, "hint_id", "left").select("hint_id", "perfume_id", F.coalesce("stage", F.lit("unresolved")).alias("stage"))
+
+
+def resolution_score(hint: str, brand_hint: str, name: str = "name_norm", brand: str = "brand_norm", popularity: str = "popularity") -> Column:
+    """How well an item answers a hint (column names): the core of the name first, then edition, brand and popularity.
+
+    Editions that contradict the hint's concentration, and cores without a common word, are held against it."""
+    from redolent.operators.scoring import popularity_score
+
+    h_core, h_ed = signature(F.col(hint))
+    n_core, n_ed = signature(F.col(name))
+    size = lambda a: F.size(F.array_distinct(a))
+    both = F.size(F.array_intersect(h_core, n_core))
+    overlap, coverage = both / F.greatest(F.size(F.array_union(h_core, n_core)), F.lit(1)), both / F.greatest(size(h_core), F.lit(1))
+    core_ratio = sequence_ratio(F.array_join(h_core, " "), F.array_join(n_core, " "))
+    full_ratio = sequence_ratio(expand_concentrations(F.col(hint)), F.col(name))
+    core = F.greatest(core_ratio, overlap, coverage)
+    apart = (size(h_core) > 0) & (size(n_core) > 0) & (both == 0) & (core_ratio < 0.72)
+    asked = size(h_ed) > 0
+    kept = F.size(F.array_intersect(h_ed, n_ed)) / F.greatest(size(h_ed), F.lit(1))
+    strengths = F.array(*map(F.lit, ("edp", "edt", "edc", "extrait", "parfum", "cologne")))
+    h_c, n_c = F.array_intersect(h_ed, strengths), F.array_intersect(n_ed, strengths)
+    clash = (F.size(h_c) > 0) & (F.size(n_c) > 0) & ~F.arrays_overlap(h_c, n_c)
+    edition = F.when(asked, kept).otherwise(F.lit(0.5))
+    penalty = F.when(asked, 0.06 * (1 - kept)).otherwise(F.lit(0.0)) + F.when(clash, F.lit(0.32)).otherwise(F.lit(0.0)) + F.when(apart, F.lit(0.38)).otherwise(F.lit(0.0))
+    brand_fit = F.when(F.col(brand_hint).isNull(), F.lit(0.5)).when(F.col(brand_hint) == F.col(brand), F.lit(1.0)).otherwise(F.lit(0.0))
+    return (core * 0.9 + full_ratio * 0.1) * 0.72 + edition * core * 0.18 + brand_fit * 0.07 + popularity_score(F.col(popularity)) * 0.03 - penalty
