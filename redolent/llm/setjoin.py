@@ -29,8 +29,8 @@ from redolent.session import materialize, slots
 
 #: Members in a matching key: two sets above the threshold share at least so many of their rarest members.
 KEY = 3
-#: Sets in a cell (or split of one) that one task joins.
-CELL = 250_000
+#: Sets in a cell (or split of one) that one task joins, and matching keys it holds at a time.
+CELL, KEYS = 600_000, 2_000_000
 #: Terms above this share of all sets are ranked by their count; there can be at most mean size / share of them.
 RANKED_SHARE = 0.0005
 
@@ -67,10 +67,15 @@ def _overlaps(flat: np.ndarray, offsets: np.ndarray, hit_terms: np.ndarray, hits
     return np.add.reduceat(rows, offsets[:-1], axis=0).astype(np.int64) if len(flat) else np.zeros((0, hits.shape[1]), dtype=np.int64)
 
 
-def _keys(sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(padded sets, keys, row of each key): one key for every choice of `width` members among the rarest few of a set."""
+def _padded(sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sets as rows of equal length, filled up with -1."""
     sets = np.full((len(sizes), int(sizes.max(initial=1))), -1, dtype=np.int64)
     sets[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)] = flat
+    return sets
+
+
+def _keys(sets: np.ndarray, sizes: np.ndarray, similarity: float, of: int = 1, part: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each): one key for every choice of `width` members among the rarest few of a set; every of-th key only."""
     width = KEY if similarity >= 0.75 else 1  # at 0.75 and above, sets of 3 and more members share 3, smaller ones are equal
     keys, rows = [], []
     for n in np.unique(sizes):
@@ -81,9 +86,10 @@ def _keys(sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity:
             for c in combo:
                 h = (h ^ sets[own, c].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            keys.append(h)
-            rows.append(own)
-    return sets, np.concatenate(keys), np.concatenate(rows)
+            mine = h % np.uint64(of) == np.uint64(part) if of > 1 else slice(None)
+            keys.append(h[mine])
+            rows.append(own[mine])
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def _signatures(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +113,15 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity: float, split: int, splits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one cell with at least one member at home that reach the similarity; members of each set: rarest first."""
     sizes = np.diff(offsets)
-    sets, key, row = _keys(sizes, flat, offsets, similarity)
+    sets = _padded(sizes, flat, offsets)
     signs = _signatures(sets)
-    if splits > 1:
-        mine = key % np.uint64(splits) == np.uint64(split)
-        key, row = key[mine], row[mine]
+    parts = max(1, len(ids) * 20 // splits // KEYS)  # keys are worked off in parts of about KEYS, so that memory is bounded
+    for part in range(parts):
+        yield from _match_keys(ids, home, sizes, sets, signs, similarity, *_keys(sets, sizes, similarity, splits * parts, split + splits * part))
+
+
+def _match_keys(ids: np.ndarray, home: np.ndarray, sizes: np.ndarray, sets: np.ndarray, signs: tuple[np.ndarray, np.ndarray], similarity: float, key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a key and reach the similarity."""
     order = np.lexsort((row, key))
     key, row = key[order], row[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
@@ -198,7 +208,8 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
             row, split = np.flatnonzero(of == 1), np.zeros(int((of == 1).sum()), dtype=np.int64)
             if len(row) < len(of):
                 flat, offsets = _lists(batch.column(3))
-                _, key, whose = _keys(np.diff(offsets), flat, offsets, similarity)
+                sizes = np.diff(offsets)
+                key, whose = _keys(_padded(sizes, flat, offsets), sizes, similarity)
                 many = of[whose] > 1
                 both = np.unique(np.stack([whose[many], (key[many] % of[whose[many]]).astype(np.int64)]), axis=1)
                 row, split = np.append(row, both[0]), np.append(split, both[1])
