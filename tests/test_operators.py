@@ -73,7 +73,7 @@ def test_resolve(spark, hint, item, stage):
 
 
 def test_resolve_fuzzy(spark):
-    r = resolve.resolve(spark.createDataFrame([("h", "aventuss creed aventus")], "hint_id string, hint_norm string"), catalog_of(spark), fuzzy=True).first()
+    r = resolve.resolve(spark.createDataFrame([("h", "aventus extra")], "hint_id string, hint_norm string"), catalog_of(spark), fuzzy=True).first()
     assert (r.perfume_id, r.stage) == (1, "fuzzy")
 
 
