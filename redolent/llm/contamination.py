@@ -2,10 +2,10 @@
 
 Two word sequences are close if they differ in at most a tenth of the words of the longer one. One edit touches at most
 `width` shingles of that many words, so of the distinct shingles of either side all but width * edits are shared: in one
-order of all shingles, rare ones first, the first width * edits + 1 of both sides have one in common. These prefixes of the
+order of all shingles, rare ones first, the first width * edits + k of both sides have k in common. These prefixes of the
 evaluation records are the index, those of the training records probe it. A hit counts if the lengths allow the edits, if
 the shingle stands at about the same place (an edit moves it by one word at most), and if enough of the prefix is left
-behind it. What stays is verified by word edit distance.
+behind it. Pairs with k hits (fewer where the texts have too few different shingles) are verified by word edit distance.
 
 Equal word sequences are one class and take part once. The order only speeds the join up, results don't depend on it: it
 comes from a table of fixed size that counts the shingles of all records by hash slot. A bitmap of the index's shingles,
@@ -28,6 +28,8 @@ from redolent.session import materialize, spread
 
 #: Words in a shingle.
 WIDTH = 5
+#: Shingles that the prefixes of a close pair must share (k above): a longer prefix for far fewer pairs to verify.
+SHARED = 8
 #: Slots of the frequency table (4 bytes each) and bits of the bitmap; fixed, whatever the corpus.
 FREQUENCY_SLOTS, BITMAP_BITS = 1 << 18, 1 << 23
 _WORD = re.compile(r"[^\W_]+")
@@ -151,7 +153,7 @@ def shingle_counts(recs: DataFrame) -> np.ndarray:
 
 
 def prefixes(recs: DataFrame, frequency, bitmap=None) -> DataFrame:
-    """(h, id, n, d, place, left): the rarest width * edits + 1 of the d distinct shingles of each record.
+    """(h, id, n, d, place, left): the rarest width * edits + SHARED of the d distinct shingles of each record.
 
     place: where it stands, -1 if more than once; left: distinct shingles of the record from here on in the common order.
     bitmap: only shingles that are in it."""
@@ -166,7 +168,7 @@ def prefixes(recs: DataFrame, frequency, bitmap=None) -> DataFrame:
                 if not len(h):
                     continue
                 place = np.where(times > 1, -1, place)
-                order = np.lexsort((h, table[(h >> np.uint64(46)).astype(np.int64)]))[: WIDTH * most_edits(n) + 1]
+                order = np.lexsort((h, table[(h >> np.uint64(46)).astype(np.int64)]))[: WIDTH * most_edits(n) + SHARED]
                 left = len(h) - np.arange(len(order))
                 if bits is not None:
                     bit = (h[order] & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
@@ -203,9 +205,11 @@ def class_links(own: DataFrame) -> DataFrame:
     most = F.floor(F.greatest("ne", "nt") / 10)
     lengths = F.abs(F.col("ne") - F.col("nt")) <= most
     places = (F.col("place_e") < 0) | (F.col("place_t") < 0) | (F.abs(F.col("place_e") - F.col("place_t")) <= most)
-    # of a close pair, the first shingle that no edit touches has all those behind it that must be shared
-    left_over = F.least("left_e", "left_t") >= F.greatest("de", "dt") - WIDTH * most
-    pairs = e.join(t, "h").where(lengths & places & left_over).select("e", "t").distinct()
+    # of a close pair, the first shingles that no edit touches have all those behind them that must be shared
+    sure = F.greatest("de", "dt") - WIDTH * most
+    left_over = F.least("left_e", "left_t") >= sure - (SHARED - 1)
+    hits = e.join(t, "h").where(lengths & places & left_over).groupBy("e", "t").agg(F.count("*").alias("shared"), F.max(F.least(F.lit(SHARED), F.greatest(F.lit(1), sure))).alias("needed"))
+    pairs = hits.where("shared >= needed").select("e", "t")
     texts = own.select("id", "words")
     candidates = pairs.join(texts.toDF("e", "we"), "e").join(texts.toDF("t", "wt"), "t")
 
