@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redolent.session import materialize
+
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows: each task keeps k, the driver merges them (TakeOrderedAndProject)."""
@@ -19,6 +21,36 @@ def top_k_per(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def most_hits(asked: DataFrame, own: DataFrame, k: int, most: int = 8) -> DataFrame:
+    """(id, perfume_id, popularity, hits, rank): the k items that answer most terms of each asked set, the popular ones first.
+
+    asked (id, terms), own (perfume_id, popularity, terms), terms distinct. Exact: an item among the best k that answers
+    the subset s of a set is among the k most popular items with all of s, as each of those answers as much. So each subset
+    of an asked set keeps k items, whatever the length of its list; sets of more than most terms take the whole lists.
+    """
+    asked = asked.select("id", F.array_sort("terms").alias("terms")).where(F.size("terms") > 0)
+    order = (F.col("popularity").desc(), F.col("perfume_id"))
+    sets = materialize(asked.groupBy("terms").agg(F.lit(1).alias("_n")).select("terms"), "sets")
+    grown = lambda acc, x: F.concat(acc, F.array(F.array(x)), F.transform(acc, lambda a: F.concat(a, F.array(x))))
+    subsets = F.explode(F.aggregate("terms", F.array().cast("array<array<string>>"), grown)).alias("key")
+    parts = materialize(sets.where(F.size("terms") <= most).select("terms", subsets), "subsets")
+    wanted = parts.select("key").distinct()
+    vocabulary = sets.select(F.explode("terms").alias("t")).distinct()
+    postings = own.select("perfume_id", "popularity", F.explode("terms").alias("t")).join(vocabulary, "t", "left_semi")
+    traits = postings.groupBy("perfume_id", "popularity").agg(F.sort_array(F.collect_set("t")).alias("_rest"))
+    level, tops = traits.withColumn("key", F.array().cast("array<string>")), None
+    for n in range(1, min(most, sets.agg(F.max(F.size("terms"))).first()[0] or 0) + 1):
+        more = level.select("perfume_id", "popularity", "key", "_rest", F.posexplode("_rest").alias("_i", "_t"))
+        more = more.select("perfume_id", "popularity", F.concat("key", F.array("_t")).alias("key"), F.slice("_rest", F.col("_i") + 2, F.size("_rest")).alias("_rest"))
+        level = materialize(more.join(wanted.where(F.size("key") == n), "key", "left_semi"), f"hits{n}")
+        top = top_k_per(level.drop("_rest"), ["key"], k, *order).drop("rank")
+        tops = top if tops is None else tops.unionByName(top)
+    many = sets.where(F.size("terms") > most).select("terms", F.explode("terms").alias("t")).join(postings, "t").groupBy("terms", "perfume_id", "popularity").agg(F.count("*").alias("hits"))
+    found = many if tops is None else many.unionByName(parts.join(tops, "key").groupBy("terms", "perfume_id", "popularity").agg(F.max(F.size("key")).cast("long").alias("hits")))
+    best = top_k_per(found, ["terms"], k, F.col("hits").desc(), *order)
+    return asked.join(best, "terms").select("id", "perfume_id", "popularity", "hits", "rank")
+
+
 def first_wins(parts: list[DataFrame], key: str, pos: str) -> DataFrame:
     """Candidate lists in order of priority, each id once, from the first list that has it."""
     tagged = [p.withColumn("priority", F.lit(i)) for i, p in enumerate(parts)]

@@ -241,12 +241,10 @@ def hard_negatives(spark, d):
 
 @query("g10_profile_answers", f"WITH {ITEMS}, {CASES}, f AS (SELECT perfume_id, popularity, unnest(list_distinct(list_concat(accords, notes))) AS term FROM items), t AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY popularity DESC, perfume_id) AS rn FROM f), c AS (SELECT DISTINCT id, unnest(must_include_any) AS term FROM cases), s AS (SELECT id, perfume_id, popularity, count(*) * 4.0 AS score FROM c JOIN t USING (term) WHERE rn <= 50 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, popularity DESC, perfume_id) AS rank FROM s) SELECT id, perfume_id, score::DOUBLE AS score, rank FROM r WHERE rank <= 3")
 def profile_answers(spark, d):
-    """Three answers for every case: its terms' 50 best-known items, scored by hits, in one job."""
-    postings = items(spark, d).select("perfume_id", "popularity", F.explode(F.array_distinct(F.concat("accords", "notes"))).alias("term"))
-    best = R.top_k_per(postings, ["term"], 50, F.col("popularity").desc(), F.col("perfume_id")).drop("rank")
-    terms = cases(spark, d).select("id", F.explode("must_include_any").alias("term")).distinct()
-    scored = terms.join(best, "term").groupBy("id", "perfume_id", "popularity").agg((F.count("*") * 4.0).alias("score"))
-    return R.top_k_per(scored, ["id"], 3, F.col("score").desc(), F.col("popularity").desc(), F.col("perfume_id")).select("id", "perfume_id", "score", "rank")
+    """Three answers for every case: of all items those that answer most of its terms, the best known first, in one job."""
+    own = items(spark, d).select("perfume_id", "popularity", F.array_distinct(F.concat("accords", "notes")).alias("terms"))
+    asked = cases(spark, d).select("id", F.array_distinct(F.array_compact("must_include_any")).alias("terms"))
+    return R.most_hits(asked, own, 3).select("id", "perfume_id", (F.col("hits") * 4.0).alias("score"), "rank")
 
 
 @query("t28_records", f"WITH {PLAIN} SELECT perfume_id, concat_ws(chr(10), 'Name: ' || coalesce(nullif(trim(name), ''), 'not recorded'), 'Brand: ' || coalesce(nullif(trim(brand), ''), 'not recorded'), 'Year: ' || coalesce(year::VARCHAR, 'not recorded'), 'Votes: ' || popularity) AS record FROM items")
