@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redolent.session import materialize
+
 #: Concentration spellings (folded) and what they stand for.
 CONCENTRATIONS = ((r"\be ?d ?p\b|\bepd\b", "eau de parfum"), (r"\be ?d ?t\b|\betd\b", "eau de toilette"), (r"\be ?d ?c\b", "eau de cologne"), (r"\bparfume\b", "parfum"))
 #: Words that tell editions apart, and words that say nothing about identity.
 EDITIONS = "edp edt edc extrait parfum cologne absolu absolute elixir extreme fraiche intense limited edition oil sport spray".split()
+#: The least sequence ratio at which a name answers a hint.
+LEAST_RATIO = 0.6
 CONNECTORS = "a by de des du for le la of pour the".split()
 
 
@@ -45,6 +50,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def ratio_if_close(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The sequence ratio where it can be LEAST_RATIO or more by the letters of both texts, else null."""
+    letters = {x: Counter(x) for x in {*a, *b}}
+
+    def ratio(x: str, y: str) -> float | None:
+        p, q = letters[x], letters[y]
+        if 2.0 * sum(min(n, q[c]) for c, n in p.items() if c in q) / (len(x) + len(y)) < LEAST_RATIO:
+            return None
+        return difflib.SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def brand_totals(items: DataFrame) -> DataFrame:
     """(brand_norm, brand, total): each brand's popularity and its most popular spelling."""
     spelled = items.where("coalesce(trim(brand), '') <> ''").groupBy("brand_norm", F.trim("brand").alias("brand")).agg(F.sum("popularity").alias("n"))
@@ -76,11 +95,32 @@ def best_item(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def _closest(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, salts: int = 8) -> DataFrame:
+    """(hint_id, perfume_id, stage): the item with the best ratio for each hint, of its house or of those that share a word.
+
+    Distinct hints meet distinct names, of which only the most popular item can win; common keys are dealt over salts.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) > 1))).alias("w")
+    by = [F.col(house).alias("house")] if house else []
+    asked = rest.select("name_hint", *by).distinct()
+    names = cols.where("name_norm IS NOT NULL").groupBy("name_norm", *([F.col("brand_norm").alias("house")] if house else [])).agg(F.max(F.struct(F.col("popularity").alias("popularity"), (-F.col("perfume_id")).alias("minus"))).alias("item"))
+    left = asked.select("*", F.col("house").alias("w")) if house else asked.select("*", words("name_hint"))
+    right = names.select("name_norm", "item", F.col("house").alias("w") if house else words("name_norm")).withColumn("salt", F.pmod(F.xxhash64("name_norm"), F.lit(salts)))
+    pairs = left.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).join(right, ["w", "salt"])
+    # no ratio is above that of the lengths
+    a, b = F.length("name_hint"), F.length("name_norm")
+    pairs = pairs.where(2.0 * F.least(a, b) / (a + b) >= LEAST_RATIO).select("name_hint", *by, "name_norm", "item").distinct()
+    scored = pairs.withColumn("ratio", ratio_if_close("name_hint", "name_norm")).where(F.col("ratio") >= LEAST_RATIO)
+    best = scored.groupBy("name_hint", *by).agg(F.max(F.struct("ratio", "item")).alias("b"))
+    return rest.join(best, ["name_hint", *(["house"] if house else [])]).select("hint_id", (-F.col("b.item.minus")).alias("perfume_id"), F.lit(stage).alias("stage"))
+
+
 def resolve(hints: DataFrame, items: DataFrame, least: int = 500, fuzzy: bool = False) -> DataFrame:
     """(hint_id, perfume_id, stage): hints (hint_id, hint_norm, folded) to items.
 
     Stages: exact name or label; name and brand; a dominant member of the family of names that begin with the hint; with
-    fuzzy, the best sequence ratio (0.6 at least) among items that share a rare word. Each stage takes what is still open.
+    fuzzy, the best sequence ratio (0.6 at least) among all items of the hint's brand or, if it names no known one, among all
+    items that share a word of two letters or more. Each stage takes what is still open.
     """
     cols = items.select("perfume_id", "name_norm", "brand_norm", "label_norm", "popularity", "rating")
     name, brand = split_hint(F.col("hint_norm"))
@@ -101,13 +141,10 @@ def resolve(hints: DataFrame, items: DataFrame, least: int = 500, fuzzy: bool =
     out = exact.unionByName(second).unionByName(third)
     if fuzzy:
         rest = rest.join(third, "hint_id", "left_anti")
-        words = lambda c: F.explode(F.filter(F.split(c, " "), lambda x: F.length(x) > 3))
-        common = cols.select(words("name_norm").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-        rare = common.where("n <= 500").select("w")
-        pairs = rest.select("hint_id", "name_hint", words("name_hint").alias("w")).join(rare, "w").join(cols.select("perfume_id", "name_norm", "popularity", words("name_norm").alias("w")), "w").select("hint_id", "name_hint", "perfume_id", "name_norm", "popularity").distinct()
-        scored = pairs.withColumn("ratio", sequence_ratio("name_hint", "name_norm")).where("ratio >= 0.6")
-        best = scored.groupBy("hint_id").agg(F.max_by("perfume_id", F.struct("ratio", "popularity", -F.col("perfume_id"))).alias("perfume_id"))
-        out = out.unionByName(best.select("hint_id", "perfume_id", F.lit("fuzzy").alias("stage")))
+        known = alias_index(items).select(F.col("alias").alias("brand_hint"), F.col("brand_norm").alias("house"))
+        rest = materialize(rest.select("hint_id", "name_hint", "brand_hint").join(known, "brand_hint", "left"), "open")
+        out = out.unionByName(_closest(rest.where("house IS NOT NULL"), cols, "house", "brand"))
+        out = out.unionByName(_closest(rest.where("house IS NULL"), cols, None, "fuzzy"))
     return hints.select("hint_id").join(out, "hint_id", "left").select("hint_id", "perfume_id", F.coalesce("stage", F.lit("unresolved")).alias("stage"))
 
 

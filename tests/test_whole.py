@@ -1,10 +1,11 @@
 """Operators that must look at all of their input: plain Python over the same rows gives what is expected."""
 
+import difflib
 import random
 
 import pytest
 
-from redolent.operators import relational
+from redolent.operators import relational, resolve
 
 
 @pytest.mark.parametrize("most", [2, 8])
@@ -18,3 +19,20 @@ def test_most_hits_takes_items_outside_every_short_list(spark, most):
         hits = sorted((-len(set(terms) & set(t)), -p, i) for i, p, t in own if set(terms) & set(t))
         expected |= {(case, i, -h, rank) for rank, (h, _, i) in enumerate(hits[:3], 1)}
     assert {(r.id, r.perfume_id, r.hits, r.rank) for r in found.collect()} == expected
+
+
+def test_fuzzy_stage_reaches_names_of_common_and_short_words(spark):
+    rng = random.Random(3)
+    names = [f"garden {''.join(rng.choices('aeioulmnrst', k=6))}" for _ in range(700)] + ["oud xi"]
+    rows = [(i, n, f"Brand {i % 3}", f"brand {i % 3}", f"{n} brand {i % 3}", i % 50, 4.0) for i, n in enumerate(names, 1)]
+    own = spark.createDataFrame(rows, "perfume_id long, name_norm string, brand string, brand_norm string, label_norm string, popularity long, rating double")
+    hints = [("plain", "garden aelomns"), ("short", "oud x1"), ("branded", "gardne aelomns by brand 2"), ("gone", "zzzzzzzz")]
+    found = {r.hint_id: (r.perfume_id, r.stage) for r in resolve.resolve(spark.createDataFrame(hints, "hint_id string, hint_norm string"), own, fuzzy=True).collect()}
+
+    def best(text, keep):
+        return max((difflib.SequenceMatcher(None, text, r[1]).ratio(), r[5], -r[0]) for r in rows if keep(r))
+
+    assert found["plain"] == (-best("garden aelomns", lambda r: "garden" in r[1])[2], "fuzzy")
+    assert found["short"] == (701, "fuzzy")
+    assert found["branded"] == (-best("gardne aelomns", lambda r: r[3] == "brand 2")[2], "brand")
+    assert found["gone"] == (None, "unresolved")
