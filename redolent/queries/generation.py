@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from redolent.functions.text import fold
 from redolent.operators import catalog as C
 from redolent.operators import conversations as V
-from redolent.operators import resolve, scoring, vector
+from redolent.operators import evaluate, resolve, scoring, vector
 from redolent.operators import relational as R
 from redolent.plans import search
 from redolent.queries.common import CASES, EDGES, FOLD, ITEMS, PAIRS, PLAIN, cases, edges, items, pairs, plain_items, query, six
 from redolent.queries.conversations import CARDS
 from redolent.queries.search import POP, RATING, sim, strength
-from redolent.session import table
+from redolent.session import materialize, table
 
 _DOT = "list_sum([a[1]::DOUBLE * a[2]::DOUBLE for a in list_zip(e.embedding, q.qe)])"
 _Q = "q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
@@ -247,6 +247,31 @@ def profile_answers(spark, d):
     return R.most_hits(asked, own, 3).select("id", "perfume_id", (F.col("hits") * 4.0).alias("score"), "rank")
 
 
+@query("a21_case_results")
+def case_results(spark, d):
+    """The retrieval evaluation: 8 candidates for every case in one job, then its hits, violations and verdict.
+
+    Candidates are the graph search of the item that the question names, then the items with most of the terms it names. The
+    reference's own retriever (query analysis and vectors of the questions) isn't built.
+    """
+    own, every = materialize(items(spark, d), "items"), materialize(cases(spark, d), "cases")
+    asked = every.where("query IS NOT NULL").select("id", F.split(fold(F.col("query")), " ").alias("w"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
+    spans = materialize(asked.select("id", F.inline(spans)), "spans")
+    names = resolve.best_item(own.where(F.length("name_norm") >= 4).select(F.col("name_norm").alias("mention"), "perfume_id", "popularity", "rating"), "mention")
+    named = materialize(spans.join(names, "mention").groupBy("id").agg(F.max_by("perfume_id", F.struct("n", -F.col("first"))).alias("query_id")), "named")
+    terms = own.select(F.explode(F.concat("accords", "notes")).alias("mention")).distinct()
+    wanted = spans.join(terms, "mention", "left_semi").groupBy("id").agg(F.collect_set("mention").alias("terms"))
+    hits = R.most_hits(wanted, own.select("perfume_id", "popularity", F.array_distinct(F.concat("accords", "notes")).alias("terms")), 8)
+    near = named.join(search.similar(own, edges(spark, d)).withColumnRenamed("source_id", "query_id"), "query_id")
+    both = near.select("id", "perfume_id", F.lit(0).alias("p"), "rank").unionByName(hits.select("id", "perfume_id", F.lit(1).alias("p"), "rank"))
+    first = both.groupBy("id", "perfume_id").agg(F.min(F.struct("p", "rank")).alias("at"))
+    found = materialize(R.top_k_per(first, ["id"], 8, F.col("at"), F.col("perfume_id")).select("id", "perfume_id"), "found")
+    hints = every.where("trim(expected_resolved_reference) <> ''").select(F.col("id").alias("hint_id"), fold(F.col("expected_resolved_reference")).alias("hint_norm"))
+    expected = resolve.resolve(hints, own).select(F.col("hint_id").alias("id"), F.col("perfume_id").alias("expected_id"))
+    return evaluate.case_results(every, found, own, materialize(expected.join(named, "id", "full"), "resolved"))
+
+
 @query("t28_records", f"WITH {PLAIN} SELECT perfume_id, concat_ws(chr(10), 'Name: ' || coalesce(nullif(trim(name), ''), 'not recorded'), 'Brand: ' || coalesce(nullif(trim(brand), ''), 'not recorded'), 'Year: ' || coalesce(year::VARCHAR, 'not recorded'), 'Votes: ' || popularity) AS record FROM items")
 def records(spark, d):
     line = lambda head, value: F.concat(F.lit(head), value)

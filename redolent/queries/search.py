@@ -320,7 +320,7 @@ def popular_pool(spark, d):
 
 @query("a21_retrieval_eval", f"WITH {ITEMS}, {CASES}, t AS (SELECT id, unnest(must_include_any) AS term FROM cases), f AS (SELECT perfume_id, unnest(list_distinct(list_concat(accords, notes))) AS term FROM items), h AS (SELECT id, term, count(*) AS hits FROM t JOIN f USING (term) GROUP BY 1, 2) SELECT id, count(*) AS terms_hit, sum(hits)::BIGINT AS hits FROM h GROUP BY id")
 def retrieval_eval(spark, d):
-    """For each evaluation case, how many of its terms any item answers and how often: a posting-list join, counted before the join."""
+    """For each evaluation case, how many of its terms any item answers and how often; the evaluation itself is a21_case_results."""
     terms = cases(spark, d).select("id", F.explode("must_include_any").alias("term"))
     postings = items(spark, d).select(F.explode(F.array_distinct(F.concat("accords", "notes"))).alias("term")).groupBy("term").agg(F.count("*").alias("hits"))
     by = terms.groupBy("id", "term").agg(F.count("*").alias("times")).join(postings, "term")

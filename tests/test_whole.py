@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from redolent.operators import relational, resolve
+from redolent.operators import evaluate, relational, resolve
 
 
 @pytest.mark.parametrize("most", [2, 8])
@@ -36,3 +36,23 @@ def test_fuzzy_stage_reaches_names_of_common_and_short_words(spark):
     assert found["short"] == (701, "fuzzy")
     assert found["branded"] == (-best("gardne aelomns", lambda r: r[3] == "brand 2")[2], "brand")
     assert found["gone"] == (None, "unresolved")
+
+
+def test_case_results_reads_every_condition(spark):
+    schema = "id string, must_include_any array<string>, term_min_hits map<string,int>, must_exclude array<string>, allowed_genders array<string>, expected_season string, expected_time string, required_brand string, excluded_brand_terms array<string>, expected_resolved_reference string, exclude_exact_reference boolean, min_hits_in_top_k int, min_popularity int, allow_low_popularity boolean"
+    fields = [f.split()[0] for f in schema.split(", ")]
+    case = lambda **k: tuple(k.get(f) for f in fields)
+    base = {"must_include_any": ["rose"], "min_hits_in_top_k": 2}
+    given = {
+        "good": {"term_min_hits": {"rose": 2}, "allowed_genders": ["female"], "expected_season": "summer", "required_brand": "kurkdijan", "min_popularity": 5, "allow_low_popularity": True, "expected_resolved_reference": "Ref"},
+        "excluded": {"must_exclude": ["oud"]}, "gender": {"allowed_genders": ["male"]}, "season": {"expected_season": "winter"}, "time": {"expected_time": "night"}, "low": {"min_popularity": 5},
+        "brand": {"required_brand": "Zara"}, "not_brand": {"excluded_brand_terms": ["kurkdjian"]}, "terms": {"term_min_hits": {"oud": 2}}, "leak": {"expected_resolved_reference": "Ref", "exclude_exact_reference": True},
+        "other": {"expected_resolved_reference": "Ref"}, "nothing": {},
+    }
+    own = spark.createDataFrame([(1, "Maison Kurkdjian", "female", ["summer"], ["day"], 3, ["rose"], ["oud wood"]), (2, "Maison Kurkdjian", "female", ["summer"], ["day"], 9, ["tea rose"], ["rose"])], "perfume_id long, brand string, gender string, seasons array<string>, times array<string>, popularity long, accords array<string>, notes array<string>")
+    found = spark.createDataFrame([(i, p) for i in given if i != "nothing" for p in (1, 2)], "id string, perfume_id long")
+    resolved = spark.createDataFrame([("good", 7, 7), ("leak", 1, 1), ("other", 7, 2)], "id string, expected_id long, query_id long")
+    rows = {r.id: r for r in evaluate.case_results(spark.createDataFrame([case(id=i, **base | k) for i, k in given.items()], schema), found, own, resolved).collect()}
+    assert {i for i, r in rows.items() if r.passed} == {"good"}
+    assert {i: r.violations for i, r in rows.items() if r.violations} == {"excluded": 1, "gender": 2, "season": 2, "time": 2, "low": 1, "brand": 2, "not_brand": 2}
+    assert (rows["good"].hit_count, rows["good"].avg_popularity, rows["terms"].term_misses, rows["leak"].leaked, rows["other"].reference_ok, rows["nothing"].candidates) == (2, 6.0, 1, True, False, 0)
