@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import functools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +71,81 @@ def case_results(cases: DataFrame, found: DataFrame, items: DataFrame, resolved:
     enough = F.col("candidates") >= F.least(F.lit(5), F.when(F.col("min_hits") > 0, F.col("min_hits")).otherwise(5))
     passed = ((F.size("wanted") == 0) | (F.col("hit_count") >= F.col("min_hits"))) & (F.col("term_misses") == 0) & (F.col("violations") == 0) & enough & F.coalesce("reference_ok", F.lit(True)) & ~some(F.col("leaked"))
     return whole.select("id", "candidates", "hit_count", "term_misses", "violations", "reference_ok", "leaked", F.round("avg_popularity", 6).alias("avg_popularity"), passed.alias("passed"))
+
+
+def count_matches(specs: DataFrame, items: DataFrame, chunks: int, blocks: int) -> DataFrame:
+    """(id, matches): for each specification the items that answer one of its terms and meet all of its other conditions.
+
+    specs as retrieval cases, without terms none is asked for; brands match by entity_matches without its ratios. Blocks of items
+    meet chunks of specifications; a block keeps one mask a term, gender, season, time and brand, so a specification costs
+    a few vector operations a block instead of a row for each pair.
+    """
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    each = lambda n: F.explode(F.array(*[F.lit(i).cast("long") for i in range(n)]))
+    own = items.select("gender", "seasons", "times", "popularity", F.coalesce("brand", F.lit("")).alias("brand"), F.concat("accords", "notes").alias("terms"), part("perfume_id", blocks).alias("block"), each(chunks).alias("chunk"))
+    least = F.when(F.coalesce("allow_low_popularity", F.lit(False)), 0).otherwise(F.coalesce("min_popularity", F.lit(0)))
+    asked = specs.where("size(must_include_any) > 0").select("id", "must_include_any", "must_exclude", "allowed_genders", "expected_season", "expected_time", "required_brand", "excluded_brand_terms", least.alias("least"), part("id", chunks).alias("chunk"), each(blocks).alias("block"))
+    by = own.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(_count_block, "id string, matches long")
+    return by.groupBy("id").agg(F.sum("matches").alias("matches")).where("matches > 0")
+
+
+def _count_block(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    n = len(own)
+    none = np.zeros(n, dtype=bool)
+
+    def masks(lists) -> dict:
+        at: dict = {}
+        for i, values in enumerate(lists):
+            for v in values:
+                at.setdefault(v, []).append(i)
+        out = {}
+        for v, rows in at.items():
+            out[v] = none.copy()
+            out[v][rows] = True
+        return out
+
+    terms, seasons, times = masks(own["terms"]), masks(own["seasons"]), masks(own["times"])
+    genders, brands = masks([[x] for x in own["gender"]]), {}
+    for i, b in enumerate(own["brand"]):
+        brands.setdefault(fold_text(b) or "", []).append(i)
+    popularity = own["popularity"].to_numpy()
+
+    def union(table: dict, keys) -> np.ndarray:
+        out = none.copy()
+        for k in keys:
+            if k in table:
+                out |= table[k]
+        return out
+
+    @functools.cache
+    def conflicting(term: str) -> np.ndarray:
+        return union(terms, [t for t in terms if term in t or t in term])
+
+    @functools.cache
+    def of_brand(text: str) -> np.ndarray:
+        wanted, out = fold_text(text) or "", none.copy()
+        for b, rows in brands.items():
+            if wanted and b and (wanted in b or b in wanted):
+                out[rows] = True
+        return out
+
+    def given(values) -> list[str]:
+        return [] if values is None else [v for v in values if v is not None]
+
+    counts = []
+    for r in asked.itertuples(index=False):
+        ok = union(terms, {t.lower() for t in given(r.must_include_any)}) & (popularity >= r.least)
+        if given(r.allowed_genders):
+            ok &= union(genders, {g.lower() for g in r.allowed_genders})
+        if r.expected_season:
+            ok &= seasons.get(r.expected_season, none)
+        if r.expected_time:
+            ok &= times.get(r.expected_time, none)
+        for t in given(r.must_exclude):
+            ok &= ~conflicting(t.lower())
+        if r.required_brand and r.required_brand.strip():
+            ok &= of_brand(r.required_brand)
+        for b in given(r.excluded_brand_terms):
+            ok &= ~of_brand(b)
+        counts.append(int(ok.sum()))
+    return pd.DataFrame({"id": asked["id"].tolist(), "matches": counts}, columns=["id", "matches"]).astype({"matches": "int64"})

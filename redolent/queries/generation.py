@@ -272,6 +272,14 @@ def case_results(spark, d):
     return evaluate.case_results(every, found, own, materialize(expected.join(named, "id", "full"), "resolved"))
 
 
+@query("j11_specs_all_conditions")
+def specs_all_conditions(spark, d):
+    """Many specifications against all items with every term and condition of each; about 65,536 items and 4,096 cases meet at a time."""
+    own, every = items(spark, d), cases(spark, d)
+    sizes = [max(4, -(-table(spark, d, t).count() // n)) for t, n in (("retrieval_eval_cases", 4096), ("perfumes", 65536))]
+    return evaluate.count_matches(every, own, sizes[0], sizes[1])
+
+
 @query("t28_records", f"WITH {PLAIN} SELECT perfume_id, concat_ws(chr(10), 'Name: ' || coalesce(nullif(trim(name), ''), 'not recorded'), 'Brand: ' || coalesce(nullif(trim(brand), ''), 'not recorded'), 'Year: ' || coalesce(year::VARCHAR, 'not recorded'), 'Votes: ' || popularity) AS record FROM items")
 def records(spark, d):
     line = lambda head, value: F.concat(F.lit(head), value)

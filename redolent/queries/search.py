@@ -329,7 +329,7 @@ def retrieval_eval(spark, d):
 
 @query("j11_specs_by_items", f"WITH {ITEMS}, {CASES}, s AS (SELECT id, must_include_any[1] AS term, allowed_genders FROM cases WHERE len(must_include_any) > 0), f AS (SELECT perfume_id, gender, unnest(list_distinct(list_concat(accords, notes))) AS term FROM items) SELECT id, count(*) AS matches FROM s JOIN f USING (term) WHERE coalesce(len(allowed_genders), 0) = 0 OR list_contains(allowed_genders, gender) GROUP BY id")
 def specs_by_items(spark, d):
-    """Many specifications against all items: an equality join on the first wanted term, with items counted by term and gender first."""
+    """Many specifications against all items: an equality join on the first wanted term, with items counted by term and gender first; j11_specs_all_conditions has the rest."""
     specs = cases(spark, d).where(F.size("must_include_any") > 0).select("id", F.element_at("must_include_any", 1).alias("term"), "allowed_genders")
     postings = items(spark, d).select("gender", F.explode(F.array_distinct(F.concat("accords", "notes"))).alias("term")).groupBy("term", "gender").agg(F.count("*").alias("n"))
     fit = (F.coalesce(F.size("allowed_genders"), F.lit(0)) <= 0) | F.array_contains("allowed_genders", F.col("gender"))

@@ -56,3 +56,21 @@ def test_case_results_reads_every_condition(spark):
     assert {i for i, r in rows.items() if r.passed} == {"good"}
     assert {i: r.violations for i, r in rows.items() if r.violations} == {"excluded": 1, "gender": 2, "season": 2, "time": 2, "low": 1, "brand": 2, "not_brand": 2}
     assert (rows["good"].hit_count, rows["good"].avg_popularity, rows["terms"].term_misses, rows["leak"].leaked, rows["other"].reference_ok, rows["nothing"].candidates) == (2, 6.0, 1, True, False, 0)
+
+
+def test_specifications_meet_all_items_with_every_condition(spark):
+    rng = random.Random(5)
+    own = [(i, rng.choice(["Maison Roux", "Zara", None]), rng.choice(["male", "female"]), rng.sample(["summer", "winter"], rng.randint(0, 2)), rng.sample(["day", "night"], 1), rng.randint(0, 200), rng.sample(["rose", "oud", "musk"], rng.randint(0, 2)), rng.sample(["oud wood", "fig", "rose"], 1)) for i in range(200)]
+    schema = "id string, must_include_any array<string>, must_exclude array<string>, allowed_genders array<string>, expected_season string, expected_time string, required_brand string, excluded_brand_terms array<string>, min_popularity int, allow_low_popularity boolean"
+    some = lambda v: rng.choice([None, v])
+    specs = [(str(i), rng.sample(["rose", "fig", "musk", "none"], 2), some(["oud"]), some(["male"]), some("winter"), some("day"), some("roux"), some(["zara"]), some(100), some(True)) for i in range(60)]
+    items = spark.createDataFrame(own, "perfume_id long, brand string, gender string, seasons array<string>, times array<string>, popularity long, accords array<string>, notes array<string>")
+    found = {r.id: r.matches for r in evaluate.count_matches(spark.createDataFrame(specs, schema), items, 3, 2).collect()}
+
+    def fits(s, p):
+        terms = set(p[6] + p[7])
+        brand = (p[1] or "").lower()
+        return bool(terms & set(s[1])) and not any(x in t for x in s[2] or [] for t in terms) and (not s[3] or p[2] in s[3]) and (not s[4] or s[4] in p[3]) and (not s[5] or s[5] in p[4]) and (not s[6] or s[6] in brand) and not any(x in brand for x in s[7] or []) and (s[9] or not s[8] or p[5] >= s[8])
+
+    expected = {s[0]: sum(fits(s, p) for p in own) for s in specs}
+    assert found == {k: n for k, n in expected.items() if n}
