@@ -70,6 +70,16 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(squeezed, r"[^a-z0-9\s\-.]", "")
 
 
+#: What counts as white space in any text, controls and wide spaces included.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def clean_any(text: Column) -> Column:
+    """clean for text of any script and spacing; nothing comes out empty."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"^{_SPACE}|{_SPACE}$", "")
+    return F.regexp_replace(F.regexp_replace(bare, _SPACE, " "), r"[^a-z0-9 \-.]", "")
+
+
 def name_key(text: Column, keep_apostrophe: bool = True) -> Column:
     """Name comparison key: years and bracketed years dropped, word characters (and apostrophes) kept."""
     low = F.lower(F.translate(text, "’", "'"))

@@ -30,6 +30,14 @@ def clean_key(spark, d):
     return table(spark, d, "documents").where("lang = 'en' AND text RLIKE '^[ -~\\n]*$'").select("doc_id", clean(F.col("text")).alias("cleaned"))
 
 
+@query("n1_clean_all")
+def clean_all(spark, d):
+    """The key of every document, whatever its language, label and spacing (n1_clean_key has those that SQL cleans alike)."""
+    from redolent.functions.text import clean_any
+
+    return table(spark, d, "documents").select("doc_id", clean_any(F.col("text")).alias("cleaned"))
+
+
 @query("n1_fold", f"WITH {PLAIN} SELECT perfume_id, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM items WHERE name IS NOT NULL")
 def fold(spark, d):
     from redolent.functions.text import fold as exact
@@ -59,6 +67,12 @@ def cards(spark, d):
     return C.card(own).select("perfume_id", F.col("card_text").alias("head"))
 
 
+@query("t08_cards_all")
+def cards_all(spark, d):
+    """The whole card of every item, with accords, notes, seasons, longevity and sillage."""
+    return C.card(items(spark, d)).select("perfume_id", "card_text")
+
+
 @query("t11_card_metrics", f"WITH {PLAIN} SELECT perfume_id, CASE WHEN longevity > 0 THEN printf('%.2f', longevity)::DOUBLE END AS longevity, CASE WHEN sillage > 0 THEN printf('%.2f', sillage)::DOUBLE END AS sillage FROM items")
 def card_metrics(spark, d):
     """Numbers written into cards and parsed back."""

@@ -2,9 +2,12 @@
 
 import difflib
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from redolent.functions import text
 from redolent.operators import evaluate, relational, resolve
 
 
@@ -74,3 +77,20 @@ def test_specifications_meet_all_items_with_every_condition(spark):
 
     expected = {s[0]: sum(fits(s, p) for p in own) for s in specs}
     assert found == {k: n for k, n in expected.items() if n}
+
+
+def test_clean_takes_texts_of_any_language_and_spacing(spark):
+    texts = ["\tÇok  güzel\u00a0KOKU!\n", "Très\u3000bien - n°5.", "\x1f A\x85b \u2028", "İstanbul \u212a", "", None, "香水 Rose "]
+    plain = [re.sub(r"[^a-z0-9\s\-\.]", "", re.sub(r"\s+", " ", (x or "").lower().strip())) for x in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", text.clean_any(F.col("x")).alias("y")).collect()
+    assert [r.y for r in sorted(rows)] == plain
+
+
+def test_every_document_gets_a_key_and_every_card_its_lists(spark, data):
+    from redolent.queries import QUERIES
+    from redolent.session import table
+
+    assert QUERIES["n1_clean_all"](spark, data).count() == table(spark, data, "documents").count()
+    cards = [r.card_text for r in QUERIES["t08_cards_all"](spark, data).collect()]
+    assert len(cards) == table(spark, data, "perfumes").select("perfume_id").distinct().count()
+    assert all(any(f"\n{head}" in c for c in cards) for head in ("Accords: ", "Notes: ", "Seasons: ", "Longevity: ", "Sillage: "))
