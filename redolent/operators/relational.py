@@ -51,6 +51,22 @@ def most_hits(asked: DataFrame, own: DataFrame, k: int, most: int = 8) -> DataFr
     return asked.join(best, "terms").select("id", "perfume_id", "popularity", "hits", "rank")
 
 
+def merged_neighbours(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request, target_id, refs, up, down, mean_up): the neighbour maps of all references (request, source_id) of each request."""
+    sizes = requests.groupBy("request").agg(F.count("*").alias("_n"))
+    by = requests.join(edges, "source_id").groupBy("request", "target_id").agg(F.count("*").alias("refs"), F.sum("up_votes").alias("up"), F.sum("down_votes").alias("down"))
+    return by.join(sizes, "request").withColumn("mean_up", F.round(F.col("up") / F.col("_n"), 6)).drop("_n")
+
+
+def supplemented_each(found: DataFrame, more: DataFrame, k: int) -> DataFrame:
+    """Every source's result (source_id, perfume_id, score) filled up to k from one list of fixed size, its own rows first."""
+    sources = found.select("source_id").distinct()
+    filled = sources.crossJoin(F.broadcast(more)).select("source_id", "perfume_id", "score", F.lit(1).alias("priority"))
+    both = found.select("source_id", "perfume_id", "score", F.lit(0).alias("priority")).unionByName(filled)
+    once = both.groupBy("source_id", "perfume_id").agg(F.min_by("score", "priority").alias("score"), F.min("priority").alias("priority"))
+    return top_k_per(once, ["source_id"], k, F.col("priority"), F.col("score").desc(), F.col("perfume_id"))
+
+
 def first_wins(parts: list[DataFrame], key: str, pos: str) -> DataFrame:
     """Candidate lists in order of priority, each id once, from the first list that has it."""
     tagged = [p.withColumn("priority", F.lit(i)) for i, p in enumerate(parts)]

@@ -210,6 +210,22 @@ def multi_reference(spark, d):
     return by.select("*", F.round(F.col("up") / 5.0, 6).alias("mean_up"))
 
 
+@query("j12_every_request")
+def every_request(spark, d):
+    """The merge for every source as a request, all its neighbours being the references."""
+    own = edges(spark, d)
+    return R.merged_neighbours(own.select(F.col("source_id").alias("request"), F.col("target_id").alias("source_id")), own)
+
+
+@query("v11_every_source")
+def every_source(spark, d):
+    """Every source's neighbours, filled up to 20 with the best known of 50 items, in one job."""
+    own = plain_items(spark, d).select("perfume_id", "popularity")
+    found = edges(spark, d).join(own, F.col("target_id") == F.col("perfume_id"), "left_semi").select("source_id", F.col("target_id").alias("perfume_id"), F.col("up_votes").cast("double").alias("score"))
+    more = R.top_k(own, 50, F.col("popularity").desc(), F.col("perfume_id")).select("perfume_id", F.col("popularity").cast("double").alias("score"))
+    return R.supplemented_each(found, more, 20).select("source_id", "perfume_id", "score", "rank")
+
+
 @query("w19_longest_label", f"WITH {PLAIN} SELECT brand_norm, name_norm FROM (SELECT brand_norm, name_norm, row_number() OVER (PARTITION BY brand_norm ORDER BY length(name_norm) DESC, name_norm DESC) AS rn FROM items WHERE name_norm IS NOT NULL AND brand_norm IS NOT NULL) WHERE rn = 1")
 def longest_label(spark, d):
     return R.longest_match(plain_items(spark, d).where("name_norm IS NOT NULL AND brand_norm IS NOT NULL"), ["brand_norm"], "name_norm")

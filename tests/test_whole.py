@@ -94,3 +94,17 @@ def test_every_document_gets_a_key_and_every_card_its_lists(spark, data):
     cards = [r.card_text for r in QUERIES["t08_cards_all"](spark, data).collect()]
     assert len(cards) == table(spark, data, "perfumes").select("perfume_id").distinct().count()
     assert all(any(f"\n{head}" in c for c in cards) for head in ("Accords: ", "Notes: ", "Seasons: ", "Longevity: ", "Sillage: "))
+
+
+def test_neighbours_are_merged_for_every_request(spark):
+    edges = [(1, 2, 10, 1), (1, 3, 4, 0), (2, 9, 6, 2), (3, 9, 1, 1), (3, 8, 5, 0), (77, 1, 3, 0)]
+    found = relational.merged_neighbours(spark.createDataFrame([("a", 2), ("a", 3), ("b", 77), ("b", 5)], "request string, source_id long"), spark.createDataFrame(edges, "source_id long, target_id long, up_votes long, down_votes long"))
+    rows = {(r.request, r.target_id, r.refs, r.up, r.down, r.mean_up) for r in found.collect()}
+    assert rows == {("a", 9, 2, 7, 3, 3.5), ("a", 8, 1, 5, 0, 2.5), ("b", 1, 1, 3, 0, 1.5)}
+
+
+def test_every_source_is_supplemented(spark):
+    found = [(1, 5, 2.0), (77, 6, 1.0), (77, 7, 9.0), (77, 8, 3.0)]
+    filled = relational.supplemented_each(spark.createDataFrame(found, "source_id long, perfume_id long, score double"), spark.createDataFrame([(5, 50.0), (6, 90.0), (9, 70.0)], "perfume_id long, score double"), 3)
+    rows = {(r.source_id, r["rank"]): (r.perfume_id, r.score) for r in filled.collect()}
+    assert rows == {(1, 1): (5, 2.0), (1, 2): (6, 90.0), (1, 3): (9, 70.0), (77, 1): (7, 9.0), (77, 2): (8, 3.0), (77, 3): (6, 1.0)}
