@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,13 +30,26 @@ def build_session(app: str = "redolent", cpus: int = 8, shuffle_partitions: int
     )
 
 
+#: What this process has written and not deleted yet, by session, and the folder of sessions on one machine that name none.
+_WRITTEN: dict[str, list[str]] = {}
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir. Only where that is unset (tests on one machine) a local one."""
+    """The folder every executor can reach: spark.checkpoint.dir of the session or its configuration.
+
+    Where that is unset a session on one machine (master local, as in tests) gets a folder of its own; a cluster is refused,
+    as no folder of the driver's machine can be reached by its executors."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="redolent-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="redolent-")
+        atexit.register(shutil.rmtree, _LOCAL[app][7:], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,10 +59,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that several branches read from being computed once for each.
     """
     path = f"{shared_dir(df.sparkSession)}/redolent-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once no DataFrame that reads them is needed; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
