@@ -1,18 +1,21 @@
 """Document and segment languages by multilingual mixture inference.
 
-Every language has a character n-gram model (hashed 2- to 4-grams, fitted on a bounded sample of labelled documents and
-purged of wrong labels by two rounds of relabelling). A document is cut into sentences; their n-gram likelihoods under all
-languages feed an expectation-maximisation that estimates in which proportions the document mixes the languages. The
+Every language has a character n-gram model (hashed 2- to 5-grams of words, fitted on a bounded sample of labelled documents
+and purged of wrong labels by two rounds of relabelling). A document is cut into sentences; their n-gram likelihoods under
+all languages feed an expectation-maximisation that estimates in which proportions the document mixes the languages. The
 language set is grown from one: a further language is taken if the mixture's likelihood grows by more than a penalty.
 With the set and proportions fixed, the sentences get their languages by the most likely path with a cost for switching,
-and neighbours of one language join to stretches. Confidence is the posterior of the language within the document's set,
-tempered, over its sentences.
+and neighbours of one language join to stretches. Confidence is the posterior of the language over the sentences of a
+stretch, with the document's proportions as prior and a small rest for the languages outside its set.
+
+N-grams don't run over words, so a sentence's likelihood is the sum of its words', and a word is scored once for each task.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,20 +24,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redolent.session import spread
+from redolent.session import materialize, spread
 
 #: Hash slots of an n-gram model, and the n-gram lengths.
 SLOTS = 1 << 16
-LENGTHS = (2, 3, 4)
+LENGTHS = (2, 3, 4, 5)
 #: Log likelihoods of overlapping n-grams count one character several times; divided by this they are about honest.
 TEMPER = 6.0
+#: Nats of tempered likelihood that one word can tell at most: names and runs of letters tell as little as any word.
+WORD = 4.0
 #: Nats of tempered likelihood that a further language must win, and that a switch between sentences costs.
 PENALTY, SWITCH = 6.0, 1.0
+#: Prior of all languages outside a document's set together, for the confidence.
+OUTSIDE = 0.01
+#: Words a task keeps the likelihoods of (36 bytes each beside the word), and characters it takes at a time.
+KNOWN, CHARS = 200_000, 2_000_000
 
-_MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|https?://\S+|\bwww\.\S+")
+_MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|https?://\S+|\bwww\.\S+", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*\n+\s*|(?<=[.!?])(?=[^\W\d_]{2})")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LIST = re.compile(r"^\W*(?:\w+(?: \w+)?\s*:\s*)?(?:[^,.;:]{1,30},\s*){2,}[^,.;:]{1,30}\W*$")
+_NOTES = re.compile(r"^\W*notes?\s*:", re.IGNORECASE)
 
 
 class Segment(NamedTuple):
@@ -44,48 +54,45 @@ class Segment(NamedTuple):
 
 
 def normal(text: str) -> str:
-    """Compatibility composition, lower case, markup out, white space kept as it tells lines apart."""
-    return unicodedata.normalize("NFKC", _MARKUP.sub(" ", text)).lower()
+    """Compatibility composition and markup out; case and white space are kept, as they tell names and lines apart."""
+    return unicodedata.normalize("NFKC", _MARKUP.sub(" ", text))
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a normalised text; one of more than 40 words (marks lost) counts in parts of 15 words."""
-    out = []
-    for s in _SENTENCE.split(text):
-        words = s.split()
-        if len(words) > 40:
-            out += [" ".join(words[i : i + 15]) for i in range(0, len(words), 15)]
-        elif words:
-            out.append(" ".join(words))
-    return out
+    """The sentences of a normalised text, however long."""
+    return [" ".join(s.split()) for s in _SENTENCE.split(text) if s and not s.isspace()]
+
+
+def words(sentence: str) -> list[str]:
+    return _LETTERS.findall(sentence.lower())
 
 
 def tells(sentence: str) -> bool:
-    """Whether a sentence can be of a language: names, single words and lists of notes can't."""
-    words = _LETTERS.findall(sentence)
-    if len(words) < 3:
+    """Whether a sentence can be of a language: names (two or three words, all with a capital), single words and lists of notes can't."""
+    found = _LETTERS.findall(sentence)
+    if len(found) < 2 or (len(found) < 4 and all(w[0].isupper() for w in found) and (len(found) < 3 or not sentence.isupper())):
         return False
-    if m := _LIST.match(sentence):
+    if "," in sentence and (m := _LIST.match(sentence)):
         items = [x.split() for x in m[0].split(":")[-1].split(",")]
         return sum(map(len, items)) > 2.5 * len(items)
-    return not re.match(r"^\W*notes?\s*:", sentence)
+    return not _NOTES.match(sentence)
 
 
-def grams(units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(slots, unit) for each length: the hashed n-grams of all units and the unit each stands in; none runs over two units."""
-    texts = [f"  {' '.join(_LETTERS.findall(u))}  " for u in units]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    unit = np.repeat(np.arange(len(units)), [len(t) for t in texts])
-    out = []
+def grams(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, word) of the hashed n-grams of words, a space on either side; each length has slots of its own."""
+    padded = [f" {w} " for w in own]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(own)), [len(t) for t in padded])
+    slots, whose = [], []
     h = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, max(LENGTHS) + 1):
+    for n in range(1, min(max(LENGTHS), len(codes)) + 1):
         k = len(codes) - n + 1
         h = (h[:k] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
         if n in LENGTHS:
-            slot = ((h >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64) + len(out) * SLOTS
-            inside = unit[:k] == unit[n - 1 :]
-            out.append((slot[inside], unit[:k][inside]))
-    return out
+            inside = of[:k] == of[n - 1 :]
+            slots.append((((h >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64) + LENGTHS.index(n) * SLOTS)[inside])
+            whose.append(of[:k][inside])
+    return np.concatenate(slots), np.concatenate(whose)
 
 
 class Model:
@@ -93,23 +100,36 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray):
         self.langs, self.table = langs, table
-
-    def scores(self, units: list[str]) -> np.ndarray:
-        """(units x languages) tempered log likelihoods."""
-        out = np.zeros((len(units), len(self.langs)), dtype=np.float64)
-        for slots, unit in grams(units):  # every unit has n-grams of each length, as two spaces stand on either side
-            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-            out += np.add.reduceat(self.table[slots], starts, axis=0)
-        return out / TEMPER
-
-    @staticmethod
-    def counts(rows: list[tuple[str, str]], langs: list[str]) -> np.ndarray:
-        size = SLOTS * len(LENGTHS)
-        own = {k: [t for x, t in rows if x == k] for k in langs}
-        return np.stack([np.bincount(np.concatenate([g for g, _ in grams(own[k])]), minlength=size) if own[k] else np.zeros(size) for k in langs]).astype(np.float64)
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((0, len(langs)), dtype=np.float32)
+
+    def _learn(self, new: list[str]) -> None:
+        slots, whose = grams(new)
+        rows = np.zeros((len(new), len(self.langs)), dtype=np.float64)
+        for k in range(len(self.langs)):
+            rows[:, k] = np.bincount(whose, self.table[slots, k], len(new))
+        self.ids.update((w, len(self.rows) + i) for i, w in enumerate(new))
+        rows /= TEMPER
+        rows = np.maximum(rows, rows.max(axis=1, keepdims=True) - WORD)
+        self.rows = np.concatenate([self.rows, rows.astype(np.float32)])
+
+    def scores(self, units: list[list[str]]) -> np.ndarray:
+        """(units x languages) tempered log likelihoods of units, each a list of words and none empty."""
+        flat = [w for u in units for w in u]
+        if not flat:
+            return np.zeros((0, len(self.langs)))
+        if len(self.ids) > KNOWN:
+            self.ids, self.rows = {}, self.rows[:0]
+        new = list(set(flat) - self.ids.keys())
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.ids.__getitem__, flat), dtype=np.int64, count=len(flat))
+        starts = np.cumsum([0, *map(len, units[:-1])])
+        return np.add.reduceat(self.rows[at].astype(np.float64), starts, axis=0)
 
     @classmethod
     def from_counts(cls, c: np.ndarray, langs: list[str]) -> Model:
+        """From (languages x slots) n-gram counts."""
         table = np.zeros(c.shape, dtype=np.float64)
         for i in range(len(LENGTHS)):
             part = c[:, i * SLOTS : (i + 1) * SLOTS]
@@ -119,19 +139,6 @@ class Model:
             table[:, i * SLOTS : (i + 1) * SLOTS] = np.log((part + strength * back) / (part.sum(axis=1, keepdims=True) + strength))
         return cls(langs, np.ascontiguousarray(table.T.astype(np.float32)))
 
-    @classmethod
-    def fit(cls, rows: list[tuple[str, str]], langs: list[str], rounds: int = 2) -> Model:
-        """From labelled sentences; each round drops those that the model so far takes for another language."""
-        kept = rows
-        for _ in range(rounds):
-            model = cls.from_counts(cls.counts(kept, langs), langs)
-            kept = []
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
-                best = np.argmax(model.scores([t for _, t in part]), axis=1)
-                kept += [r for r, k in zip(part, best, strict=True) if langs[int(k)] == r[0]]
-        return cls.from_counts(cls.counts(kept, langs), langs)
-
 
 def mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[list[int], np.ndarray]:
     """(language set, proportions) of a document from its sentences' likelihoods: EM within a set, sets by penalised likelihood."""
@@ -166,38 +173,43 @@ def mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[list[int], np.ndar
     return chosen, mix
 
 
-def segments(text: str | None, model: Model) -> list[Segment]:
-    """The stretches of a text in order; empty for null, empty and wordless texts."""
+def units(text: str | None) -> list[str]:
+    """The sentences of a text that can be of a language; where there is none, all of it if it has a letter."""
     if not text:
         return []
-    units = sentences(normal(text))
-    own = [u for u in units if tells(u)]
-    if not own:
-        whole = " ".join(units)
-        if not re.search(r"[^\W\d_]", whole):
-            return []
+    found = sentences(normal(text))
+    own = [u for u in found if tells(u)]
+    if not own and (whole := " ".join(found)) and _LETTERS.search(whole):
         own = [whole]
-    scores = model.scores(own)
-    sizes = np.array([len(u) for u in own], dtype=np.float64)
+    return own
+
+
+def stretches(sizes: np.ndarray, scores: np.ndarray, langs: list[str]) -> list[Segment]:
+    """The stretches of a text in order, from the lengths and the likelihoods of its sentences."""
     chosen, mix = mixture(scores, sizes)
-    s = scores[:, chosen] + np.log(mix)
-    # most likely path with a cost for each switch
-    path, back = s[0], []
-    for row in s[1:]:
-        stay, jump = path, path.max() - SWITCH
-        back.append(np.where(stay >= jump, np.arange(len(chosen)), int(np.argmax(path))))
-        path = np.maximum(stay, jump) + row
-    k = int(np.argmax(path))
-    order = [k]
-    for b in reversed(back):
-        k = int(b[k])
-        order.append(k)
-    order.reverse()
-    sure = np.exp(scores - scores.max(axis=1, keepdims=True))
+    if len(chosen) == 1:
+        order = [0] * len(sizes)
+    else:  # the most likely path with a cost for each switch
+        s = scores[:, chosen] + np.log(mix)
+        path, back = s[0], []
+        for row in s[1:]:
+            stay, jump = path, path.max() - SWITCH
+            back.append(np.where(stay >= jump, np.arange(len(chosen)), int(np.argmax(path))))
+            path = np.maximum(stay, jump) + row
+        k = int(np.argmax(path))
+        order = [k]
+        for b in reversed(back):
+            k = int(b[k])
+            order.append(k)
+        order.reverse()
+    prior = np.full(scores.shape[1], OUTSIDE / max(1, scores.shape[1] - len(chosen)))
+    prior[chosen] = mix * (1 - OUTSIDE)
+    sure = scores + np.log(prior)
+    sure = np.exp(sure - sure.max(axis=1, keepdims=True))
     sure /= sure.sum(axis=1, keepdims=True)
     out: list[Segment] = []
     for i, k in enumerate(order):
-        lang, c = model.langs[chosen[k]], float(sure[i, chosen[k]])
+        lang, c = langs[chosen[k]], float(sure[i, chosen[k]])
         if out and out[-1].lang == lang:
             last = out[-1]
             out[-1] = Segment(lang, last.chars + int(sizes[i]), (last.confidence * last.chars + c * sizes[i]) / (last.chars + sizes[i]))
@@ -206,6 +218,29 @@ def segments(text: str | None, model: Model) -> list[Segment]:
     return out
 
 
+def segments_of(texts: list[str | None], model: Model) -> Iterator[list[Segment]]:
+    """The stretches of each text; none for null, empty and wordless texts. Texts are scored together, about CHARS at a time."""
+    at = 0
+    while at < len(texts):
+        upto, chars = at, 0
+        while upto < len(texts) and (upto == at or chars < CHARS):
+            chars += len(texts[upto] or "")
+            upto += 1
+        own = [units(t) for t in texts[at:upto]]
+        scores = model.scores([words(u) for us in own for u in us])
+        start = 0
+        for us in own:
+            end = start + len(us)
+            yield stretches(np.array([len(u) for u in us], dtype=np.float64), scores[start:end], model.langs) if us else []
+            start = end
+        at = upto
+
+
+def segments(text: str | None, model: Model) -> list[Segment]:
+    """The stretches of one text."""
+    return next(segments_of([text], model))
+
+
 def main_language(found: list[Segment]) -> tuple[str, float]:
     """The language of most of the text, and the share of the text it has times its confidence."""
     share: dict[str, float] = {}
@@ -233,10 +268,42 @@ def read_label(label: str | None, codes: dict[str, str]) -> str | None:
     return codes.get(text) or codes.get(re.split(r"[-_ ]", text)[0] if re.fullmatch(r"[a-z]{2,3}[-_ ][a-z0-9]{2,8}([-_ ][a-z0-9]+)*", text) else "")
 
 
-def fit(docs: DataFrame, languages: DataFrame, rows_per_language: int = 400) -> Model:
+def ngram_counts(sample: DataFrame, langs: list[str], model: Model | None = None) -> np.ndarray:
+    """(languages x slots) n-gram counts of labelled texts (l, text); with a model, of the sentences it takes for the label's language.
+
+    Counted on the executors: what comes back has at most languages * slots * lengths rows, whatever the texts."""
+    shared = sample.sparkSession.sparkContext.broadcast((model.langs, model.table) if model else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value) if shared.value else None
+        counts = [Counter() for _ in langs]
+        for batch in batches:
+            for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [w for u in units(text) if (w := words(u))]
+                if own and found:
+                    best = np.argmax(own.scores(found), axis=1)
+                    found = [w for w, k in zip(found, best.tolist(), strict=True) if own.langs[k] == label]
+                for w in found:
+                    counts[langs.index(label)].update(w)
+        for k, by in enumerate(counts):
+            total = np.zeros(SLOTS * len(LENGTHS), dtype=np.int64)
+            if by:
+                slots, whose = grams(list(by))
+                np.add.at(total, slots, np.fromiter(by.values(), dtype=np.int64, count=len(by))[whose])
+            slot = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k, dtype=np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["k", "slot", "n"])
+
+    out = np.zeros((len(langs), SLOTS * len(LENGTHS)))
+    got = sample.mapInArrow(run, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
+    out[got["k"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def fit(docs: DataFrame, languages: DataFrame, rows_per_language: int = 400, rounds: int = 2) -> Model:
     """The model from labelled documents: of each language at most about rows_per_language, chosen by hash, whole texts.
 
-    Labels may be wrong in part; Model.fit drops what doesn't agree. Only this sample comes to the driver (9 * 400 texts)."""
+    Labels may be wrong in part: each round drops the sentences that the model so far takes for another language. A language
+    without labelled text is none of the model's. Only n-gram counts come to the driver."""
     codes = label_codes(languages)
     langs = sorted(set(codes.values()))
     label: Column = F.lower(F.trim(F.col("lang")))
@@ -247,10 +314,12 @@ def fit(docs: DataFrame, languages: DataFrame, rows_per_language: int = 400) ->
     for lang, n in counts.items():
         upto = low + int(span * min(1.0, rows_per_language / max(n, 1)))
         rule = rule | ((F.col("l") == lang) & (F.col("h") <= min(upto, 2**63 - 1)))
-    taken = exact.where(rule).select("l", "text").collect()
-    rows = [(r.l, u) for r in sorted(taken) for u in sentences(normal(r.text)) if tells(u)]
-    seen = [x for x in langs if any(lang == x for lang, _ in rows)]
-    return Model.fit(rows, seen or langs)
+    sample = materialize(spread(exact.where(rule).select("l", "text"), 1), "labelled")
+    seen = [x for x in langs if x in counts] or langs
+    model = Model.from_counts(ngram_counts(sample, seen), seen)
+    for _ in range(rounds):
+        model = Model.from_counts(ngram_counts(sample, seen, model), seen)
+    return model
 
 
 def languages_of(docs: DataFrame, languages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -258,7 +327,7 @@ def languages_of(docs: DataFrame, languages: DataFrame, model: Model | None = No
 
     label: the language its label names (null: missing or none); parts: how many languages the text is in. Null, empty
     and wordless texts have no rows; repeated rows are answered each; null doc_ids are kept; a text of one language
-    has one stretch. The model is small (3 * 2^16 slots x 9 languages) and goes to every worker.
+    has one stretch. The model is small (4 * 2^16 slots x 9 languages) and goes to every worker.
     """
     codes = label_codes(languages)
     model = model or fit(docs, languages)
@@ -268,8 +337,8 @@ def languages_of(docs: DataFrame, languages: DataFrame, model: Model | None = No
         own = Model(*shared.value)
         for batch in batches:
             out: list[tuple] = []
-            for doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = segments(text, own)
+            docs_, labels, texts = (c.to_pylist() for c in batch.columns)
+            for doc, label, found in zip(docs_, labels, segments_of(texts, own), strict=True):
                 if not found:
                     continue
                 lang, sure = main_language(found)

@@ -378,3 +378,15 @@ def test_held_out_accuracy_and_segments(spark, data):
 def test_query_runs(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.count() >= 0 and (name in SQL or name not in ("p1_found", "p1_terms", "p4_found"))
+
+
+def test_sentences_stay_whole_and_one_word_tells_little(spark, data):
+    docs, codes = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/language_codes.parquet")
+    model = language.fit(docs, codes)
+    english = "the dry down is where the rose and the musk finally agree and "
+    assert [s.lang for s in language.segments(english * 40 + "that is all.", model)] == ["en"]
+    assert len(language.sentences(english * 40)) == 1
+    assert [s.lang for s in language.segments("I would give aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa it eight out of ten.", model)] == ["en"]
+    two = language.segments("Very good. " + "Sur ma peau, la note de rose tient longtemps. " * 2, model)
+    assert two[-1].lang == "fr" and not language.tells("Silver Rain") and language.tells("very good")
+    assert language.segments("Nousite", model)[0].chars == 7 and language.segments(None, model) == []
