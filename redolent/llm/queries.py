@@ -26,7 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The records whose answer is unusable, and how."""
-    return qa_defects.defective_pairs(table(spark, d, "sample_messages"))
+    model = language.fit(table(spark, d, "documents"), table(spark, d, "language_codes"))
+    return qa_defects.defective_pairs(table(spark, d, "sample_messages"), model)
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
