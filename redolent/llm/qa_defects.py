@@ -36,8 +36,8 @@ NOTIONS = {
     "self": "i im ive id we us me my myself mine our assistant* ai bot model ich mir mich wir uns mein* assistent* je j moi nous mon ma mes assistente modele yo nosotros mi mis asistente modelo io noi mio mia miei nao eu ben biz bana asistan* benim",
     "not": "not t no never cannot cant wont dont none nothing neither nor unable without isnt nicht nichts kein* nie weder ohne ne n pas aucun* rien jamais sans non nunca ningun* nada sin tampoco nessun* nulla niente mai nao nunca degil* yok* hicbir* hic olmaz",
     "can": "can could able capable capacity cannot cant unable possible kann konnen konnte imstande lage moglich peux pouvons pouvoir puis saurais sais capable mesure possible puedo podemos poder podria capaz posible posso possiamo grado potrei consigo podia",
-    "wish": "want wish willing will won wont would d prefer* rather like going care intend inclined mochte* will wollen wollte bevorzuge lieber bereit veux voulons souhait* prefer* tiens envie aimerais quiero queremos prefier* prefer* deseo gustaria voglio vorrei desidero prefiro quero gostaria ister* tercih* niyetinde* dusunm*",
-    "act": "help* assist* answer* respond* repl* advis* advice recommend* suggest* comment* provid* offer* giv* discuss* talk* speak say* tell* opinion* opin* weigh* pronounce engag* address* do make serve handle take accept* fulfil* fulfill* comply choose decid* pick* guidance guid* helf* weiterhelf* beantwort* antwort* empfehl* rate raten rat beraten auskunft sag* aussern* geb* abgeb* urteil* erteil* machen tun meinung bedienen nachkomm* unterstutz* aid* repon* conseil* recommand* donn* dire prononc* parler avis commenter proposer faire traiter ayud* respond* contest* recomend* aconsej* decir opinar opinion* dar doy hablar ofrec* hacer atender pronunciarme aiut* rispond* consigli* raccomand* dire dare parlare esprim* fornir* ajud* recomend* aconselh* yardim* cevap* yanit* oner* tavsiye* yorum* soyle* fikir* gorus* konus* bilgi* destek*",
+    "wish": "want wish willing will won wont would prefer* rather going care intend inclined mochte* will wollen wollte bevorzuge lieber bereit veux voulons souhait* prefer* tiens envie aimerais quiero queremos prefier* prefer* deseo gustaria voy vamos voglio vorrei desidero prefiro quero gostaria ister* tercih* niyetinde* dusunm*",
+    "act": "help* assist* answer* respond* repl* advis* advice recommend* suggest* comment* provid* offer* giv* discuss* talk* speak say* tell* opinion* opin* weigh* pronounce engag* address* do make serve handle take accept* fulfil* fulfill* comply choos* choice* decid* pick* guidance guid* helf* weiterhelf* beantwort* antwort* empfehl* rate raten rat beraten auskunft sag* aussern* geb* abgeb* urteil* erteil* machen tun meinung bedienen nachkomm* unterstutz* wahl* auswahl* aid* repon* conseil* recommand* donn* dire prononc* parler avis commenter proposer faire traiter chois* ayud* respond* contest* recomend* aconsej* decir opinar opinion* dar doy hablar ofrec* hacer atender pronunciarme eleg* escog* aiut* rispond* consigli* raccomand* dire dare parlare esprim* fornir* ajud* recomend* aconselh* yardim* cevap* yanit* oner* tavsiye* yorum* soyle* fikir* gorus* konus* bilgi* destek* secmek secim*",
     "decline": "declin* refus* pass skip* abstain* refrain* abstention turn opt bow sit stay steer dodge avoid* withhold* sidestep leave reject* deny denied weiger* verweiger* ablehn* abzulehnen abgelehnt lehn* absag* enthalt* zuruckhalt* verzicht* passe passen refus* declin* abstien* absten* ecart* evit* rechaz* niego negar* declin* absteng* abstener* evit* rehus* rifiut* declin* asteng* asten* recus* reddet* redded* cekimser kacin* geri cevir*",
     "allow": "allow* permi* permission* authori* licens* supposed entitled cleared darf durfen durfte erlaub* berechtigt befugt gestattet zulassig zugelassen autoris* permis* permet* droit habilit* autoriz* permit* permis* derecho autorizz* permess* consent* izin* izni* yetki* musaade*",
     "rule": "guideline* polic* rule* restriction* instruction* terms regulation* limits richtlinie* regel* vorgaben vorschrift* bestimmung* regle* politique* consigne* directive* norma* regla* politica* directri* instruccion* regole regola politica linee kural* ilke* politika* yonerge* talimat*",
@@ -54,12 +54,13 @@ self not allow act|allow self not act|self allow not|not self allow|matter not a
 matter forbid rule|rule forbid act|rule forbid matter|forbid self rule|rule self forbid
 self not fit act|not fit act|fit self not act|self not fit|matter not self fit
 matter beyond self|beyond self matter|self beyond act|matter beyond rule|beyond self act
-self not act matter|self act not matter|act self not|self not act|matter self not act""".replace("\n", "|").split("|"))
+self not act act|self act not act|act act not self|act not act self|matter self not act""".replace("\n", "|").split("|"))
 #: What an answer can't do about a fact, which is no refusal, and how it says that nothing fits.
-FACTS = "verif* confirm* find* found see determin* establish* locat* check* matches match fits bestatig* finde* prufen ermittel* feststell* confirm* verifi* trouv* determin* confirm* verific* encontr* hall* determin* confermar* trov* verific* dogrul* bulam* bulun* teyit* saptay* eslesm* uyan uymuy*"
+FACTS = "verif* confirm* find* found see determin* establish* locat* check* matches match fits bestatig* finde* prufen ermittel* feststell* confirm* verifi* trouv* determin* confirm* verific* encontr* hall* determin* confermar* trov* verific* dogrul* bulam* teyit* saptay* eslesm* uyan uymuy*"
 NO_MATCH = re.compile(r"\b(no|none|nothing|not one|neither|kein\w*|nichts|aucun\w*|rien|ningun\w*|nada|nessun\w*|hicbir\w*)\b(?: \w+){0,7}? (match\w*|fit|fits|meet\w*|satisf\w*|qualif\w*|pass\w*|erfull\w*|entsprech\w*|entspricht|correspond\w*|convien\w*|cumpl\w*|coincid\w*|encaj\w*|corrispond\w*|uy\w*|eslesm\w*|karsilam\w*)\b")
-#: A refusal's alignment less SHARE times its substance is at least LEAST; a gap word costs GAP, a fact verb FACT.
-LEAST, SHARE, GAP, FACT = 0.66, 0.1, 0.03, 0.3
+#: A refusal's alignment less SHARE times its substance is at least LEAST; a gap word costs GAP, a fact verb FACT,
+#: a sentence without anything to decline (only I, not, can and the like) BARE.
+LEAST, SHARE, GAP, FACT, BARE = 0.62, 0.04, 0.03, 0.3, 0.15
 #: Weight of each notion in a template; the others have 1.
 WEIGHT = {"self": 0.5, "matter": 0.5}
 #: Most that one word counts as substance, and what its log ratio must exceed.
@@ -79,7 +80,8 @@ NAMED = {
     "ru": frozenset("russian rusca russisch russe ruso".split()),
 }
 _WORDS = re.compile(r"[^\W_]+")
-_CARDS = re.compile(r"^\s*\[PERFUMES\].*?(?:\n\s*\n|\[/PERFUMES\])\s*", re.DOTALL | re.IGNORECASE)
+#: Record cards: a marked block up to an empty line, wherever it stands, and lines of "key: value | key: value".
+_CARDS = re.compile(r"\[PERFUMES\].*?(?:\n\s*\n|\[/PERFUMES\]|\Z)\s*|^[^\n|:]{1,40}:[^\n|]*\|[^\n|:]{1,40}:[^\n]*$", re.DOTALL | re.IGNORECASE | re.MULTILINE)
 _TAG = re.compile(r"<[^<>]*>")
 _ITEM = re.compile(r"^\s*(?:[-•*–·]|\d+\s*[.)])\s*\S")
 _CUT = re.compile(r"\s*(?:\[\w*\.*\]?|<\w*|\(\w*|…|\.\.\.+)\s*$")
@@ -87,13 +89,13 @@ _CUT = re.compile(r"\s*(?:\[\w*\.*\]?|<\w*|\(\w*|…|\.\.\.+)\s*$")
 
 @lru_cache(maxsize=100_000)
 def _letters(word: str) -> str:
-    low = word.lower().replace("i̇", "i")
+    low = word.lower().replace("\u0307", "").replace("ß", "ss")
     return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).replace("ı", "i")
 
 
 def raw_words(text: str) -> list[str]:
     """Runs of letters and digits in compatibility form, as written."""
-    return _WORDS.findall(text if text.isascii() else unicodedata.normalize("NFKC", text))
+    return _WORDS.findall(text if text.isascii() else unicodedata.normalize("NFKC", text).replace("\u0307", ""))
 
 
 def tokens(text: str) -> list[str]:
@@ -134,6 +136,7 @@ def _matcher(stems: str) -> re.Pattern:
 
 _BITS = {k: 1 << i for i, k in enumerate(NOTIONS)}
 _STEMS = [(_BITS[k], _matcher(v)) for k, v in NOTIONS.items()]
+_ACTS = sum(_BITS[k] for k in ("act", "decline", "allow", "rule", "forbid", "fit", "beyond"))
 _FACT, _FACTS = 1 << len(_BITS), _matcher(FACTS)
 #: Turkish verbs in the first person say not, can't and I in their endings.
 _CANT = re.compile(r"\w+?(?:ama|eme)(?:m|yiz|yacag\w*|yeceg\w*)|\w+?(?:a|e)m[iu]yor(?:um|uz)")
@@ -164,10 +167,10 @@ def alignment(slots: tuple[int, ...], weights: tuple[float, ...], sentence: list
             continue
         states = {0: 0.0} | {state: v for state, back in ends.items() if (v := back - GAP * at) > 0.0}
         for state, have in states.items():
-            v = have
-            for k in range(state, len(slots)):  # fill the next slots, leaving out those the word doesn't fit
-                if slots[k] & bits:
-                    v += weights[k]
+            v, left = have, bits
+            for k in range(state, len(slots)):  # fill the next slots with the word's notions, once each, leaving out those it doesn't fit
+                if slots[k] & left:
+                    v, left = v + weights[k], left & ~slots[k]
                     ends[k + 1] = max(ends.get(k + 1, 0.0), v + GAP * (at + 1))
                     best = max(best, v)
     return best / sum(weights)
@@ -184,7 +187,7 @@ def decline(sentence: list[str]) -> float:
         bound = sum(w for s, w in zip(slots, weights, strict=True) if s & there) / sum(weights)
         if bound > max(best, LEAST):
             best = max(best, alignment(slots, weights, bits))
-    return best - (FACT if there & _FACT else 0.0)
+    return best - (FACT if there & _FACT else 0.0) - (0.0 if there & _ACTS else BARE)
 
 
 def declines(answer: str) -> float:
@@ -235,12 +238,18 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
 
 
 def telling(text: str) -> list[str]:
-    """The words that tell a text's language: those without a capital, as names and shouted words have one; all words if these are too few."""
+    """The words that tell a text's language: those without a capital, as names have one; of short texts also the first of each sentence.
+
+    None for a text of capitals only in up to three words: that is a name."""
     own = [w for w in raw_words(text) if w.isalpha()]
-    small = [w for w in own if w.islower() or not w.upper() != w]
-    if 2 * len(small) >= min(len(own), 4):
-        return small
-    return [w.lower() for w in own] if any(w.islower() for w in own) or len(own) > 3 else []
+    small = [w for w in own if w.islower()]
+    if len(small) < 6:
+        first = [w for x in re.split(r"(?<=[.!?:])\s+|\n+", text) if (f := [w for w in raw_words(x) if w.isalpha()]) for w in f[:1] if not w.islower()]
+        if small or len(own) > 3:
+            small += [w.lower() for w in first]
+        if len(small) < 2 and len(own) > 3:
+            small = [w.lower() for w in own]
+    return small
 
 
 def other_languages(pairs_: list[tuple[str, str]], model: language.Model) -> list[bool]:

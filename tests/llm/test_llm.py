@@ -52,6 +52,16 @@ def test_term_frequency_empty(spark):
 # ---- 2 defects
 
 ENDS = frozenset({"on skin", "000 voters", "of rose"})
+
+
+@pytest.fixture(scope="module")
+def known(spark, data):
+    """What the corpus of sf0.01 tells, with the ends of the fixtures below."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    ends, weights = qa_defects.learn(read("sample_messages"))
+    return qa_defects.Known(ends | ENDS, weights, language.fit(read("documents"), read("language_codes")))
+
+
 QUESTION = "Which perfumes would you pick for a cold evening if I like rose but not oud, and which lasts over 8 hours?"
 FULL = "From the cards, 2 perfumes fit:\n1. A by B: rose over musk, 9 hours on skin\n2. C by D: rose over tea, 7 hours on skin"
 
@@ -81,11 +91,69 @@ FULL = "From the cards, 2 perfumes fit:\n1. A by B: rose over musk, 9 hours on s
         (QUESTION, "This one is the better choice. It lasts for the...", "truncated"),
         (QUESTION, "This one is the better choice. It lasts.", None),
         (None, "This one is the better choice.", None),
+        ("Aventus?", "Aventus?", "copy"),
+        ("Aventus or Silver Rain?", "Silver Rain", "truncated"),
+        (QUESTION, "None given", "empty"),
+        (QUESTION, "No response was provided.", "empty"),
         ("", "x" * 200_000 + ".", None),
     ],
 )
-def test_defects(question, answer, kind):
-    assert qa_defects.defect(question, answer, ENDS) == kind
+def test_defects(known, question, answer, kind):
+    assert qa_defects.defect(question, answer, known) == kind
+
+
+#: Held out: none of these sentences stands in a list of the operator or was used to set it.
+ASKED = {
+    "en": "Could you suggest something for the office that has iris but no vanilla?",
+    "de": "Kannst du mir etwas fürs Büro nennen, das Iris hat, aber keine Vanille?",
+    "fr": "Peux-tu me conseiller quelque chose pour le bureau avec de l'iris mais sans vanille ?",
+    "es": "¿Puedes sugerirme algo para la oficina que tenga iris pero no vainilla?",
+    "tr": "Ofis için süsen içeren ama vanilya içermeyen bir şey önerir misin?",
+}
+REFUSED = {
+    "en": ["I must refuse to pick anything for you.", "I'm not permitted to talk about that.", "Answering this would violate my policy.", "Unfortunately that lies beyond what I can discuss.", "I'd prefer not to weigh in on this.", "I am unable to comment on those 5 bottles.", "My guidelines forbid me to give any suggestion.", "We are not authorized to advise customers. Have a pleasant evening.", "I have decided to abstain from this one.", "It is not my place to choose for you, sorry."],
+    "de": ["Dazu kann ich leider nichts sagen.", "Ich muss es ablehnen, hier etwas zu empfehlen.", "Meine Richtlinien verbieten mir jede Empfehlung.", "Das liegt außerhalb meiner Zuständigkeit, dazu sage ich nichts.", "Ich möchte diese Frage lieber nicht beantworten.", "Mir ist es nicht gestattet, Ratschläge zu geben."],
+    "fr": ["Je refuse de choisir à votre place.", "Je ne peux malheureusement rien conseiller.", "Mes règles m'interdisent de répondre.", "Cela sort de mon domaine, je ne peux pas en parler.", "Je préfère m'abstenir sur ce sujet.", "Il ne m'est pas permis de donner un avis."],
+    "es": ["No puedo aconsejarte en esto.", "Me abstengo de responder.", "Mis reglas prohíben dar consejos.", "No deseo opinar sobre esa cuestión.", "Esto supera lo que puedo hacer por ti, no puedo contestar.", "No estoy autorizada para recomendar nada."],
+    "tr": ["Bu soruya cevap veremeyeceğim.", "Öneri yapmam yasak, kurallarım izin vermiyor.", "Bu konuda konuşmayı reddediyorum.", "Size tavsiye veremem, özür dilerim.", "Bu istek benim yetkimi aşıyor.", "Yorum yapmaktan kaçınıyorum."],
+}
+ANSWERED = {
+    "en": ["Nothing in the records has iris without vanilla.", "I can't verify the launch year, yet Grey Iris has 310 votes and stays close to the skin.", "I would skip Grey Iris: the musk is sweet and the iris fades in an hour.", "Only one card fits, and it is too sweet for a small room.", "Try Grey Iris first; it is dry, powdery and quiet."],
+    "de": ["Keine der Karten passt zu beiden Wünschen.", "Das Jahr lässt sich nicht bestätigen, aber Grey Iris hat 310 Stimmen und bleibt leise.", "Nimm Grey Iris, der Duft ist trocken und pudrig."],
+    "fr": ["Aucune fiche ne convient aux deux demandes.", "L'année reste incertaine, mais Grey Iris a 310 votes et reste discret.", "Essaie Grey Iris, sec et poudré sur la peau."],
+    "es": ["Ninguna ficha cumple las dos condiciones.", "No consta el año, pero Grey Iris tiene 310 votos y es discreto.", "Prueba Grey Iris, seco y empolvado sobre la piel."],
+    "tr": ["Kartların hiçbiri iki isteğe birden uymuyor.", "Yılını bulamadım ama Grey Iris 310 oy almış ve oldukça sakin.", "Önce Grey Iris dene, kuru ve pudralı bir koku."],
+}
+SHORT = {
+    "en": ["The iris here is dry and soft.", "It stays close to the skin."],
+    "de": ["Die Iris ist hier trocken und weich.", "Der Duft bleibt nah an der Haut."],
+    "fr": ["Ici, l'iris est sec et doux.", "Il reste près de la peau."],
+    "es": ["Aquí el iris es seco y suave.", "Se queda cerca de la piel."],
+    "tr": ["Buradaki süsen kuru ve yumuşak.", "Koku tene yakın kalıyor."],
+}
+SHORT_OTHER = ["Qui l'iris è secco e morbido.", "Aqui a íris é seca e suave, não doce.", "De iris is hier droog en zacht.", "Здесь ирис сухой и мягкий."]
+
+
+def test_unlisted_defects_are_found(known):
+    want, got = [], []
+    for lang, question in ASKED.items():
+        cases = [(x, "refusal") for x in REFUSED[lang]] + [(x, None) for x in ANSWERED[lang] + SHORT[lang]]
+        cases += [(x, "language") for other, texts in SHORT.items() if other != lang for x in texts] + [(x, "language") for x in SHORT_OTHER]
+        words = question.rstrip("?").split()
+        cases += [(question, "copy"), (" ".join(words[1:]) + "?", "copy"), (question.upper(), "copy")]
+        for answer, kind in cases:
+            want.append(kind)
+            got.append(qa_defects.defect(question, answer, known))
+    for kind in ("refusal", "copy", "language"):
+        right = sum(w == g == kind for w, g in zip(want, got, strict=True))
+        assert right >= 0.9 * want.count(kind) and right >= 0.9 * got.count(kind), (kind, right, want.count(kind), got.count(kind))
+    assert sum(k is not None for k in want) >= 100
+
+
+def test_a_long_refusal_is_one_and_costs_little(known):
+    long = "I am sorry to say that after thinking about what you have asked me for quite some time now I am not, and will never be, in a position to give you any advice about it."
+    assert qa_defects.defect(QUESTION, long, known) == "refusal"
+    assert qa_defects.decline(["not", "word"] * 100_000) < 1
 
 
 def test_lcs_is_the_plain_one():
