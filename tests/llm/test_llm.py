@@ -458,3 +458,67 @@ def test_sentences_stay_whole_and_one_word_tells_little(spark, data):
     two = language.segments("Very good. " + "Sur ma peau, la note de rose tient longtemps. " * 2, model)
     assert two[-1].lang == "fr" and not language.tells("Silver Rain") and language.tells("very good")
     assert language.segments("Nousite", model)[0].chars == 7 and language.segments(None, model) == []
+
+
+# ---- 3 again: mentions in running text, slips and abbreviations that no list holds
+
+
+@pytest.mark.parametrize(
+    ("value", "ref"),
+    [
+        ("something like Rivolia please", 5),
+        ("the one called Valusim Cuir my sister wears", 2),
+        ("I want something close to Nousite Intense for winter", 4),
+        ("any perfume by Lizete like Nousite", 1),
+        ("Vlausim Ciur", 2),
+        ("Valusim Cuirr edp", 2),
+        ("Nousite Kelebort", 0),
+        ("something like Nousite Sport please", 0),
+        ("Rivolia Sport", 6),
+        ("something like Nousite or Rivolia", 0),
+        ("Valusim", 0),
+        ("Suzoufer 81 please", 0),
+    ],
+)
+def test_names_in_running_text(value, ref):
+    learned = {"name": frozenset({"sport"})}  # a word that many values have beside an entry is noise, unless two entries differ by it
+    c = canonical.Catalog(BRANDS, [*LABELS, (6, "Rivolia Sport", 6, "Rivolia Sport by L'Atelier Banuplar")], learned)
+    assert "sport" in c.names.editions and min(c.name_ids(value), default=0) == ref
+
+
+@pytest.mark.parametrize(("short", "full", "yes"), [("prfms", "parfums", True), ("atl", "atelier", True), ("mson", "maison", True), ("off", "officina", True), ("xy", "maison", False), ("m", "maison", False), ("maisons", "maison", False), ("sn", "maison", False)])
+def test_abbreviations(short, full, yes):
+    assert canonical.abbreviates(short, full) == yes
+
+
+def test_recall_on_held_out_noise(spark, data):
+    """Entries of the lists, dirtied in ways no list of the operator names: recall and precision of 0.9 at least."""
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").collect()]
+    brands = [(r[0], r[1]) for r in read("brand_list")]
+    labels = [(r[0], r[1], r[2], r[3]) for r in read("label_list")]
+    c, rng = canonical.Catalog(brands, labels), random.Random(30)
+    known = {" ".join(canonical.words(n)) for _, n, _, _ in labels}
+
+    def slip(word):
+        k = rng.randrange(1, len(word) - 2)
+        return rng.choice([word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k + 1 :], word[:k] + word[k] + word[k:]])
+
+    right = answered = asked = 0
+    for i, name, _, label in rng.sample(labels, 300):
+        own = name.split()
+        longest = max(own, key=len)
+        dirty = [f"do they still sell {name} anywhere", f"My friend adores {name} in winter", " ".join(slip(w) if w == longest and len(w) > 5 else w for w in own), f"{label} please", " ".join(reversed(own))]
+        for value in dirty:
+            if " ".join(canonical.words(value)) in known:
+                continue
+            got = c.name_ids(value)
+            same = {k for k, n, _, _ in labels if n == name}
+            asked, answered, right = asked + 1, answered + bool(got), right + bool(got and got <= same)
+    assert right >= 0.9 * asked and right >= 0.9 * answered
+
+
+def test_lists_beyond_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(canonical, "ENTRIES", 3)
+    b, lab = spark.createDataFrame(BRANDS, "brand_id long, brand string"), spark.createDataFrame(LABELS, "label_id long, name string, brand_id long, label string")
+    with pytest.raises(ValueError):
+        canonical.load(b, lab)
