@@ -50,6 +50,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_pairs(table(spark, d, "perfumes"), "perfume_id", CSV_FIELDS, "ingested_at", similarity=0.8, least=6, names=("perfume_id_a", "perfume_id_b"))
 
 
+def _p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.set_classes(table(spark, d, "perfumes"), "perfume_id", CSV_FIELDS, "ingested_at", 6)
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of different, nearly equal sets, by the least perfume of each, with the number of perfumes that have the set."""
+    links = setjoin.class_links(_p4_classes(spark, d), 0.8)
+    return links.select(F.col("a").alias("perfume_id_a"), F.col("b").alias("perfume_id_b"), "copies_a", "copies_b")
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The set class of every perfume with at least six terms, its copies and its number of links."""
+    own = _p4_classes(spark, d)
+    return setjoin.memberships(own, materialize(setjoin.class_links(own, 0.8), "sized")).select(F.col("id").alias("perfume_id"), F.col("cls").alias("class_id"), "copies", "links")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The close pairs of a training record and one of validation or test."""
     links, _ = contamination.overlaps(table(spark, d, "sample_messages"))
@@ -99,16 +115,24 @@ counts AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT perfume_i
 marked AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.1 * (SELECT count(DISTINCT perfume_id) FROM perfumes) THEN 'common' END AS mark FROM counts)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_unmatched, p4_found, p5_found, p5_counts, p6_ids, p7_sequences, p7_fill, p8_found, p8_languages)}
-
-SQL: dict[str, str] = {
-    "p1_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
-    "p1_terms": _TERMS + "SELECT field, term, occurrences, records, mark FROM marked",
-    "p4_found": f"""WITH {_ONCE},
+_SIMILAR = f"""WITH {_ONCE},
 member AS (SELECT DISTINCT perfume_id, field, term FROM folded WHERE term <> ''),
 sized AS (SELECT perfume_id, count(*) AS n FROM member GROUP BY perfume_id HAVING count(*) >= 6),
 own AS (SELECT m.*, n FROM member m JOIN sized USING (perfume_id)),
 pair AS (SELECT a.perfume_id AS perfume_id_a, b.perfume_id AS perfume_id_b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
- FROM own a JOIN own b ON a.field = b.field AND a.term = b.term AND a.perfume_id < b.perfume_id AND b.n >= 0.8 * a.n AND a.n >= 0.8 * b.n GROUP BY 1, 2)
-SELECT perfume_id_a, perfume_id_b FROM pair WHERE shared * 10 >= 8 * (na + nb - shared)""",
+ FROM own a JOIN own b ON a.field = b.field AND a.term = b.term AND a.perfume_id < b.perfume_id AND b.n >= 0.8 * a.n AND a.n >= 0.8 * b.n GROUP BY 1, 2),
+found AS (SELECT * FROM pair WHERE shared * 10 >= 8 * (na + nb - shared)),
+equal AS (SELECT * FROM found WHERE shared = na AND shared = nb),
+cls AS (SELECT s.perfume_id, least(s.perfume_id, coalesce(min(e.perfume_id_a), s.perfume_id)) AS class_id FROM sized s LEFT JOIN equal e ON e.perfume_id_b = s.perfume_id GROUP BY s.perfume_id),
+copies AS (SELECT class_id, count(*) AS copies FROM cls GROUP BY class_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_unmatched, p4_found, p4_links, p4_members, p5_found, p5_counts, p6_ids, p7_sequences, p7_fill, p8_found, p8_languages)}
+
+SQL: dict[str, str] = {
+    "p1_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p1_terms": _TERMS + "SELECT field, term, occurrences, records, mark FROM marked",
+    "p4_found": _SIMILAR + "SELECT perfume_id_a, perfume_id_b FROM found",
+    "p4_links": _SIMILAR + "SELECT DISTINCT perfume_id_a, perfume_id_b, ca.copies AS copies_a, cb.copies AS copies_b FROM found JOIN copies ca ON ca.class_id = perfume_id_a JOIN copies cb ON cb.class_id = perfume_id_b WHERE NOT (shared = na AND shared = nb)",
+    "p4_members": _SIMILAR + ", ends AS (SELECT perfume_id_a AS perfume_id FROM found UNION ALL SELECT perfume_id_b FROM found), deg AS (SELECT perfume_id, count(*) AS links FROM ends GROUP BY 1) SELECT perfume_id, class_id, copies, coalesce(links, 0) AS links FROM cls JOIN copies USING (class_id) LEFT JOIN deg USING (perfume_id)",
 }

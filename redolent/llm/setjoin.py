@@ -7,10 +7,11 @@ home only if d(x, q) <= d(x, p) + 2t. The same inequality on set differences is
 `more` and lack at most `less` members, so the bound is taken over the distances those leave possible (reach()). A pair
 thus meets in exactly one cell: the lower of its two homes. In a cell the join is exact: two sets above the threshold have
 all but a few members in common, so they share three among the few rarest of each; sets are matched on such triples and
-every match is verified.
+every match is verified. Where many sets share a triple it is lengthened by two members again and again: partners that share a
+key of w members among their rarest also share one of w + 2 that holds it, among two members more.
 
-Equal sets are one class and are joined once. Cells that outgrow a task are split by the triples' hash, which loses
-nothing, as partners share a triple.
+Equal sets are one class and are joined once. Cells that outgrow a task are split by the hash of keys of five members, which
+loses nothing, as partners share such a key, and which deals the sets of a hot triple over many tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from redolent.functions.text import folded_items
 from redolent.llm.term_frequency import latest
 from redolent.session import materialize, slots
 
-#: Members in a matching key: two sets above the threshold share at least so many of their rarest members.
-KEY = 3
+#: Members in a matching key: two sets above the threshold share at least so many of their rarest members. WIDE: of the keys that split a cell.
+KEY, WIDE = 3, 5
+#: Sets that share a key before it is lengthened.
+HOT = 400
 #: Sets in a cell (or split of one) that one task joins, and matching keys it holds at a time.
 CELL, KEYS = 600_000, 2_000_000
 #: Terms above this share of all sets are ranked by their count; there can be at most mean size / share of them.
@@ -74,22 +77,55 @@ def _padded(sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndar
     return sets
 
 
-def _keys(sets: np.ndarray, sizes: np.ndarray, similarity: float, of: int = 1, part: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each): one key for every choice of `width` members among the rarest few of a set; every of-th key only."""
-    width = KEY if similarity >= 0.75 else 1  # at 0.75 and above, sets of 3 and more members share 3, smaller ones are equal
-    keys, rows = [], []
-    for n in np.unique(sizes):
+def _hash(h: np.ndarray, members: np.ndarray) -> np.ndarray:
+    h = (h ^ members.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _width(least: int, similarity: float, wanted: int) -> int:
+    """Members that a key can have if no set has fewer than `least`: partners share ceil(similarity * least) at least.
+
+    At 0.75 and above sets of 3 and more members share 3, and smaller ones are equal."""
+    return min(wanted, max(int(np.ceil(similarity * least - 1e-9)), KEY)) if similarity >= 0.75 else 1
+
+
+def _prefix(n: int, similarity: float, width: int) -> int:
+    return min(n, n - int(np.ceil(similarity * n - 1e-9)) + width)
+
+
+def _keys(sets: np.ndarray, sizes: np.ndarray, similarity: float, width: int, of: int = 1, part: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, its places): one key for every choice of `width` members among the rarest few of a set; every of-th key only.
+
+    places: which members a key has, as bits (of the first 63)."""
+    keys, rows, places = [], [], []
+    for n in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == n)
-        prefix = min(int(n), int(n) - int(np.ceil(similarity * n - 1e-9)) + width)
-        for combo in combinations(range(prefix), min(width, int(n))):
+        for combo in combinations(range(_prefix(n, similarity, width)), min(width, n)):
             h = np.zeros(len(own), dtype=np.uint64)
             for c in combo:
-                h = (h ^ sets[own, c].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
+                h = _hash(h, sets[own, c])
             mine = h % np.uint64(of) == np.uint64(part) if of > 1 else slice(None)
             keys.append(h[mine])
             rows.append(own[mine])
-    return np.concatenate(keys), np.concatenate(rows)
+            places.append(np.full(len(keys[-1]), sum(1 << c for c in combo if c < 63), dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
+
+
+def _lengthen(key: np.ndarray, row: np.ndarray, places: np.ndarray, sets: np.ndarray, sizes: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every key with each choice of members more among the rarest, up to `width` in all; none of the sets is smaller than the key allows."""
+    keys, rows, marks = [], [], []
+    kind = np.stack([places, sizes[row]], axis=1)
+    for place, n in np.unique(kind, axis=0).tolist():
+        own = np.flatnonzero((kind[:, 0] == place) & (kind[:, 1] == n))
+        free = [c for c in range(_prefix(n, similarity, width)) if not place >> c & 1]
+        for combo in combinations(free, width - place.bit_count()):
+            h = key[own]
+            for c in combo:
+                h = _hash(h, sets[row[own], c])
+            keys.append(h)
+            rows.append(row[own])
+            marks.append(np.full(len(own), place | sum(1 << c for c in combo), dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(marks)
 
 
 def _signatures(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +146,44 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), offsets - offsets[0]
 
 
-def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity: float, split: int, splits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity: float, width: int, split: int, splits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one cell with at least one member at home that reach the similarity; members of each set: rarest first."""
     sizes = np.diff(offsets)
     sets = _padded(sizes, flat, offsets)
     signs = _signatures(sets)
     parts = max(1, len(ids) * 20 // splits // KEYS)  # keys are worked off in parts of about KEYS, so that memory is bounded
     for part in range(parts):
-        yield from _match_keys(ids, home, sizes, sets, signs, similarity, *_keys(sets, sizes, similarity, splits * parts, split + splits * part))
+        yield from _match_keys(ids, home, sizes, sets, signs, similarity, width, *_keys(sets, sizes, similarity, width, splits * parts, split + splits * part))
 
 
-def _match_keys(ids: np.ndarray, home: np.ndarray, sizes: np.ndarray, sets: np.ndarray, signs: tuple[np.ndarray, np.ndarray], similarity: float, key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share a key and reach the similarity."""
+def _match_keys(ids: np.ndarray, home: np.ndarray, sizes: np.ndarray, sets: np.ndarray, signs: tuple[np.ndarray, np.ndarray], similarity: float, width: int, key: np.ndarray, row: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a key and reach the similarity. Keys that more than HOT rows share are lengthened as far as their sets allow."""
     order = np.lexsort((row, key))
-    key, row = key[order], row[order]
+    key, row, places = key[order], row[order], places[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.append(starts, len(key)))
+    if len(counts) and counts.max() > HOT and similarity >= 0.75 and int(sets.shape[1]) < 63:
+        least = np.minimum.reduceat(sizes[row], starts)
+        longer = np.minimum(width + 2, np.ceil(similarity * least - 1e-9).astype(np.int64))
+        for w in range(width + 1, width + 3):
+            hot = np.repeat((counts > HOT) & (longer == w), counts)
+            if hot.any():
+                at = np.flatnonzero(hot)
+                step = max(HOT, KEYS // 20)
+                bounds = starts[(counts > HOT) & (longer == w)]
+                ends = bounds + counts[(counts > HOT) & (longer == w)]
+                first = 0
+                while first < len(bounds):  # whole keys at a time, about `step` rows together
+                    last = first + 1
+                    while last < len(bounds) and ends[last] - bounds[first] <= step:
+                        last += 1
+                    own = at[(at >= bounds[first]) & (at < ends[last - 1])]
+                    yield from _match_keys(ids, home, sizes, sets, signs, similarity, w, *_lengthen(key[own], row[own], places[own], sets, sizes, similarity, w))
+                    first = last
+        cold = np.repeat(~((counts > HOT) & (longer > width)), counts)
+        key, row = key[cold], row[cold]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+        counts = np.diff(np.append(starts, len(key)))
     partners = np.repeat(starts + counts, counts) - np.arange(len(key)) - 1  # later entries of the same key
     upto_here = np.append(0, np.cumsum(partners))
     at = 0
@@ -158,14 +216,15 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
     """
     spark = sets.sparkSession
     own = materialize(sets.select("id", "members").where(F.size("members") > 0), "sets")
-    n = own.count()
+    size = own.agg(F.count("*").alias("n"), F.min(F.size("members")).alias("least")).first()
+    n, least = size.n, size.least
     if not n:
         return own.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     # terms in more than a share of all sets: their number is bounded by mean size / share
     counts = own.select(F.explode("members").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > RANKED_SHARE * n + 1)
     ranked = sorted((r.n, r.t) for r in counts.collect())
-    k = pivots or int(np.clip(n // 40_000, 8, 128))
-    chosen = [r.members for r in own.orderBy(F.xxhash64(F.lit(7), "members")).limit(k).collect()]  # at most 128 sets
+    k = pivots or int(np.clip(n // 40_000, 8, 1024))
+    chosen = [r.members for r in own.orderBy(F.xxhash64(F.lit(7), "members")).limit(k).collect()]  # at most 1024 sets
     hit, pivot_size = _pivot_table(chosen)
     hit_terms = np.array(sorted(hit), dtype=np.int64)
     shared = spark.sparkContext.broadcast((np.array([t for _, t in ranked], dtype=np.int64), hit_terms, np.stack([hit[t] for t in hit_terms.tolist()]), pivot_size))
@@ -198,8 +257,9 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
 
     cells = materialize(own.repartition(max(slots(spark) * 2, n // 20_000)).mapInArrow(assign, "cell int, home boolean, id long, members array<long>"), "cells")
     filled = {r.cell: r.n for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
-    # beyond a task's share a row goes to the splits of its keys only, about 15 of them, however many splits there are
-    splits = {c: 1 if m <= CELL else -(-m * 15 // CELL) for c, m in filled.items()}
+    # beyond a task's share a row goes to the splits of its keys only, about 20 of them, however many splits there are
+    splits = {c: 1 if m <= CELL else -(-m * 20 // CELL) for c, m in filled.items()}
+    narrow, wide = _width(least, similarity, KEY), _width(least, similarity, WIDE)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +269,7 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
             if len(row) < len(of):
                 flat, offsets = _lists(batch.column(3))
                 sizes = np.diff(offsets)
-                key, whose = _keys(_padded(sizes, flat, offsets), sizes, similarity)
+                key, whose, _ = _keys(_padded(sizes, flat, offsets), sizes, similarity, wide)
                 many = of[whose] > 1
                 both = np.unique(np.stack([whose[many], (key[many] % of[whose[many]]).astype(np.int64)]), axis=1)
                 row, split = np.append(row, both[0]), np.append(split, both[1])
@@ -221,7 +281,7 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None
     def join(key: tuple, data: pa.Table) -> pa.Table:
         flat, offsets = _lists(data.column("members"))
         home = data.column("home").to_numpy().astype(bool)
-        found = list(_match(data.column("id").to_numpy(), home, flat, offsets, similarity, key[1].as_py(), splits[key[0].as_py()]))
+        found = list(_match(data.column("id").to_numpy(), home, flat, offsets, similarity, narrow if (of := splits[key[0].as_py()]) == 1 else wide, key[1].as_py(), of))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, dtype=np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -249,6 +309,22 @@ def set_classes(df: DataFrame, key: str, fields: list[str], loaded: str | None =
     return materialize(own.select("id", "members", "cls", "copies"), "classes")
 
 
+def class_links(own: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b, copies_a, copies_b): all pairs of different classes of set_classes at or above the similarity, a < b, with their sizes.
+
+    The record pairs behind a link are all copies of a with all of b, however many these are: nothing is expanded here."""
+    linked = materialize(similar_classes(own.where("id = cls").select("id", "members"), similarity), "links")
+    size = own.where("id = cls").select("cls", "copies")
+    return linked.join(size.toDF("a", "copies_a"), "a").join(size.toDF("b", "copies_b"), "b").select("a", "b", "copies_a", "copies_b")
+
+
+def memberships(own: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cls, copies, links): the class of every record that has a set, the copies in it, and how many other records it is linked with."""
+    ends = links.select(F.col("a").alias("cls"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("cls"), F.col("copies_a").alias("n")))
+    by = ends.groupBy("cls").agg(F.sum("n").alias("others"))
+    return own.select("id", "cls", "copies").join(by, "cls", "left").select("id", "cls", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+
+
 def similar_pairs(df: DataFrame, key: str, fields: list[str], loaded: str | None = None, similarity: float = 0.8, least: int = 6, full: int = 64, names: tuple[str, str] = ("id_a", "id_b")) -> DataFrame:
     """All pairs (a < b) of records of df whose sets have at least `least` members and the Jaccard similarity or more.
 
@@ -256,17 +332,15 @@ def similar_pairs(df: DataFrame, key: str, fields: list[str], loaded: str | None
     one of the names used here is no matter, as only key and fields are read. Equal sets are joined as one class. A class
     of up to `full` copies comes out as all of its pairs; a larger one as pairs of its least id with each copy, and a pair
     of classes of more than full * full record pairs as each record with the least id of the other class: no record loses
-    its link, but a class of a third of all rows isn't squared.
+    its link, but a class of a third of all rows isn't squared. class_links and memberships have the same result for classes
+    of every size alike.
     """
     own = set_classes(df, key, fields, loaded, least)
-    reps = own.where("id = cls").select("id", "members")
-    linked = materialize(similar_classes(reps, similarity), "links")
+    sized = materialize(class_links(own, similarity), "sized").select("a", "b", F.col("copies_a").alias("n_a"), F.col("copies_b").alias("n_b"))
     m = own.select("id", "cls", "copies")
     few = m.where((F.col("copies") > 1) & (F.col("copies") <= full))
     inside = few.alias("x").join(few.alias("y"), (F.col("x.cls") == F.col("y.cls")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     spokes = m.where((F.col("copies") > full) & (F.col("id") != F.col("cls"))).select(F.col("cls").alias("a"), F.col("id").alias("b"))
-    size = m.where("id = cls").select(F.col("cls"), "copies")
-    sized = linked.join(size.select(F.col("cls").alias("a"), F.col("copies").alias("n_a")), "a").join(size.select(F.col("cls").alias("b"), F.col("copies").alias("n_b")), "b")
     within = F.col("n_a") * F.col("n_b") <= full * full
     of_a, of_b = m.select(F.col("cls").alias("a"), F.col("id").alias("x")), m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     across = sized.where(within).join(of_a, "a").join(of_b, "b").select("x", "y")

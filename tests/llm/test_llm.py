@@ -522,3 +522,45 @@ def test_lists_beyond_the_bound_are_refused(spark, monkeypatch):
     b, lab = spark.createDataFrame(BRANDS, "brand_id long, brand string"), spark.createDataFrame(LABELS, "label_id long, name string, brand_id long, label string")
     with pytest.raises(ValueError):
         canonical.load(b, lab)
+
+
+def test_hot_triples_are_lengthened_and_lose_nothing(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(31)
+    calls = []
+    monkeypatch.setattr(setjoin, "HOT", 4)
+    lengthen = setjoin._lengthen
+    monkeypatch.setattr(setjoin, "_lengthen", lambda *a: calls.append(a[-1]) or lengthen(*a))
+    common = list(range(1, 6))  # the rarest members by the order below stand in almost every set
+    sets = {}
+    for i in range(500):
+        own = set(rng.sample(common, rng.choice([3, 4, 5, 5]))) | set(rng.sample(range(10, 34), rng.randint(3, 12)))
+        if len(own) >= 6:
+            sets[i] = tuple(sorted(own))
+    for i in range(500, 560):  # near copies of one
+        own = list(sets[min(sets)])
+        own[-1] = 100 + i % 7
+        sets[i] = tuple(sorted(own))
+    ids = np.array(sorted(sets))
+    flat = np.array([x for i in ids.tolist() for x in sets[i]], dtype=np.int64)
+    offsets = np.cumsum([0, *(len(sets[i]) for i in ids.tolist())])
+    want = {(a, b) for a, b in itertools.combinations(ids.tolist(), 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9}
+    for width in (setjoin.KEY, setjoin.WIDE):
+        for splits in (1, 3):
+            got = set()
+            for split in range(splits):
+                for x, y in setjoin._match(ids, np.ones(len(ids), dtype=bool), flat, offsets, 0.8, width, split, splits):
+                    got |= {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+            assert got == want
+    assert set(calls) >= {5}
+
+
+def test_links_and_members_say_the_same_for_classes_of_any_size(spark):
+    csv = "a,b,c,d,e,f,g"
+    rows = [(i, csv, None, 1) for i in range(100)] + [(200, csv, "h", 1), (201, csv, "h", 1), (300, "a,b", None, 1)]
+    own = setjoin.set_classes(perfumes(spark, rows), "perfume_id", ["accords_csv", "notes_csv"], "ingested_at")
+    links = setjoin.class_links(own)
+    assert [tuple(r) for r in links.collect()] == [(0, 200, 100, 2)]
+    got = {r.id: (r.cls, r.copies, r.links) for r in setjoin.memberships(own, links).collect()}
+    assert got[7] == (0, 100, 101) and got[201] == (200, 2, 101) and 300 not in got and len(got) == 102
