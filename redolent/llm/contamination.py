@@ -18,6 +18,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -231,34 +232,60 @@ def class_links(own: DataFrame) -> DataFrame:
     return candidates.select("e", "t", "we", "wt").mapInArrow(verify, "e long, t long, distance int")
 
 
-def overlaps(messages: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least_words: int = 64, full: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(links, records). links: (train_id, eval_id, distance), one row for each close pair of a training and an evaluation record.
+class Overlap(NamedTuple):
+    """links: (train_id, eval_id, distance, copies_train, copies_eval) between classes; members: (sample_id, split, source, side, class_id, copies)."""
 
-    Equal records are joined as one class. A pair of classes comes out as all its record pairs if these are at most `full`;
-    beyond that as every record of each side with the least id of the other side, so that no record loses its link and a
-    class of a third of all rows isn't multiplied with itself. Records of other splits are left out; repeated rows count
-    once; an empty table gives no links.
-    """
+    links: DataFrame
+    members: DataFrame
+
+
+def overlap_classes(messages: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least_words: int = 64) -> Overlap:
+    """Close classes of equal word sequences, one of the training and one of the evaluation side, and the records in each class.
+
+    A class is named by its least sample_id. The record pairs behind a link are all records of one class with all of the other,
+    however many; nothing is expanded here. Records of other splits are left out; repeated rows count once; an empty table
+    gives neither links nor members."""
     recs = materialize(records(messages, least_words), "records")
     own = materialize(classes(recs, train, evaluation), "classes")
-    linked = materialize(class_links(own), "links")
+    linked = class_links(own)
     sizes = own.select("id", "copies")
-    sized = linked.join(sizes.toDF("e", "copies_e"), "e").join(sizes.toDF("t", "copies_t"), "t")
-    ids = own.select("id", "side", "cls", "n")
+    links = linked.join(sizes.toDF("e", "copies_eval"), "e").join(sizes.toDF("t", "copies_train"), "t")
+    links = materialize(links.select(F.col("t").alias("train_id"), F.col("e").alias("eval_id"), "distance", "copies_train", "copies_eval"), "links")
     side = F.when(F.col("split") == train, "t").when(F.col("split").isin(*evaluation), "e")
-    members = recs.select("sample_id", side.alias("side"), F.md5("words").alias("cls"), "n").where("side IS NOT NULL").join(ids, ["side", "cls", "n"]).select("sample_id", "side", "id")
-    of_e, of_t = members.where("side = 'e'").select(F.col("id").alias("e"), F.col("sample_id").alias("eval_id")), members.where("side = 't'").select(F.col("id").alias("t"), F.col("sample_id").alias("train_id"))
-    small = F.col("copies_e") * F.col("copies_t") <= full
-    some = sized.where(small).join(of_e, "e").join(of_t, "t").select("train_id", "eval_id", "distance")
-    many = sized.where(~small)
-    rest = many.join(of_e, "e").select(F.col("t").alias("train_id"), "eval_id", "distance").unionByName(many.join(of_t, "t").where("train_id <> t").select("train_id", F.col("e").alias("eval_id"), "distance"))
-    return some.unionByName(rest), recs
+    keyed = recs.select("sample_id", "split", "source", side.alias("side"), F.md5("words").alias("cls"), "n").where("side IS NOT NULL")
+    members = keyed.join(own.select(F.col("id").alias("class_id"), "side", "cls", "n", "copies"), ["side", "cls", "n"]).select("sample_id", "split", "source", "side", "class_id", "copies")
+    return Overlap(links, materialize(members, "members"))
+
+
+def overlaps(found: Overlap, full: int = 4096) -> DataFrame:
+    """(train_id, eval_id, distance): one row for each close pair of a training and an evaluation record.
+
+    A pair of classes comes out as all its record pairs if these are at most `full`; beyond that as every record of each side
+    with the least id of the other side, so that no record loses its link and a class of a third of all rows isn't multiplied
+    with itself. Overlap has the same result for classes of every size alike.
+    """
+    of_e = found.members.where("side = 'e'").select(F.col("class_id").alias("e"), F.col("sample_id").alias("of_e"))
+    of_t = found.members.where("side = 't'").select(F.col("class_id").alias("t"), F.col("sample_id").alias("of_t"))
+    links = found.links.withColumnsRenamed({"train_id": "t", "eval_id": "e"})
+    small = F.col("copies_eval") * F.col("copies_train") <= full
+    some = links.where(small).join(of_e, "e").join(of_t, "t").select(F.col("of_t").alias("train_id"), F.col("of_e").alias("eval_id"), "distance")
+    many = links.where(~small)
+    rest = many.join(of_e, "e").select(F.col("t").alias("train_id"), F.col("of_e").alias("eval_id"), "distance").unionByName(many.join(of_t, "t").where("of_t <> t").select(F.col("of_t").alias("train_id"), F.col("e").alias("eval_id"), "distance"))
+    return some.unionByName(rest)
+
+
+def memberships(found: Overlap) -> DataFrame:
+    """(sample_id, split, source, class_id, copies, links, distance): every record, how many records of the other side it is close to, and the least distance (null: none)."""
+    e = found.links.groupBy(F.col("eval_id").alias("class_id")).agg(F.sum("copies_train").alias("links"), F.min("distance").alias("distance")).withColumn("side", F.lit("e"))
+    t = found.links.groupBy(F.col("train_id").alias("class_id")).agg(F.sum("copies_eval").alias("links"), F.min("distance").alias("distance")).withColumn("side", F.lit("t"))
+    own = found.members.join(e.unionByName(t), ["side", "class_id"], "left")
+    return own.select("sample_id", "split", "source", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "distance")
 
 
-def counts(links: DataFrame, recs: DataFrame) -> DataFrame:
+def counts(found: Overlap) -> DataFrame:
     """(split, source, records, exact, near): evaluation records and how many of them stand in the training split, by split and source.
 
     records counts those long enough to compare; a null source is a source of its own."""
-    hit = links.groupBy(F.col("eval_id").alias("sample_id")).agg(F.min("distance").alias("distance"))
-    own = recs.where("split <> 'train'").join(hit, "sample_id", "left")
+    hit = found.links.groupBy(F.col("eval_id").alias("class_id")).agg(F.min("distance").alias("distance"))
+    own = found.members.where("side = 'e'").join(hit, "class_id", "left")
     return own.groupBy("split", "source").agg(F.count("*").alias("records"), F.count_if(F.col("distance") == 0).alias("exact"), F.count_if(F.col("distance") > 0).alias("near"))

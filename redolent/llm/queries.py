@@ -68,14 +68,23 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The close pairs of a training record and one of validation or test."""
-    links, _ = contamination.overlaps(table(spark, d, "sample_messages"))
+    links = contamination.overlaps(contamination.overlap_classes(table(spark, d, "sample_messages")))
     return links.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The close pairs of a training and an evaluation class of equal records, by their least ids, with word edits and copies."""
+    return contamination.overlap_classes(table(spark, d, "sample_messages")).links
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every record long enough, its copies, and how many records of the other side it is close to."""
+    return contamination.memberships(contamination.overlap_classes(table(spark, d, "sample_messages")))
+
+
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation records that stand in the training split, by split and source."""
-    links, recs = contamination.overlaps(table(spark, d, "sample_messages"))
-    return contamination.counts(links, recs)
+    return contamination.counts(contamination.overlap_classes(table(spark, d, "sample_messages")))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +136,7 @@ cls AS (SELECT s.perfume_id, least(s.perfume_id, coalesce(min(e.perfume_id_a), s
 copies AS (SELECT class_id, count(*) AS copies FROM cls GROUP BY class_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_unmatched, p4_found, p4_links, p4_members, p5_found, p5_counts, p6_ids, p7_sequences, p7_fill, p8_found, p8_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_unmatched, p4_found, p4_links, p4_members, p5_found, p5_links, p5_members, p5_counts, p6_ids, p7_sequences, p7_fill, p8_found, p8_languages)}
 
 SQL: dict[str, str] = {
     "p1_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",

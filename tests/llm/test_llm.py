@@ -310,7 +310,8 @@ def test_overlaps_are_all_overlaps(spark):
         rows += [(i, "user", " ".join(w[:cut]), split), (i, "model", ", ".join(w[cut:]).upper(), split), (i, "system", "same for all", split)]
         records[i] = (split, w)
     rows += [(900, "user", None, "train"), (901, "user", "short", "test"), (902, "user", "x " * 100, None)]
-    links, recs = contamination.overlaps(messages(spark, rows))
+    found = contamination.overlap_classes(messages(spark, rows))
+    links = contamination.overlaps(found)
     got = [(r.train_id, r.eval_id) for r in links.collect()]
     want = set()
     for (i, (s, w)), (j, (t, v)) in itertools.product(records.items(), repeat=2):
@@ -319,18 +320,21 @@ def test_overlaps_are_all_overlaps(spark):
             if contamination.edits(w, v, most) <= most:
                 want.add((i, j))
     assert len(got) == len(set(got)) and set(got) == want and want
-    by = {(r.split, r.source): (r.records, r.exact + r.near) for r in contamination.counts(links, recs).collect()}
+    by = {(r.split, r.source): (r.records, r.exact + r.near) for r in contamination.counts(found).collect()}
     assert sum(n for _, n in by.values()) == len({e for _, e in want})
 
 
 def test_overlap_classes(spark):
     text = " ".join(f"w{i}" for i in range(70))
     rows = [(i, "user", text, "train" if i < 6 else "test") for i in range(12)]
-    links, _ = contamination.overlaps(messages(spark, rows), full=4)
+    found = contamination.overlap_classes(messages(spark, rows))
+    assert [tuple(r) for r in found.links.collect()] == [(0, 6, 0, 6, 6)]
+    assert {(r.sample_id, r.class_id, r.copies, r.links, r.distance) for r in contamination.memberships(found).collect()} == {(i, 0 if i < 6 else 6, 6, 6, 0) for i in range(12)}
+    links = contamination.overlaps(found, full=4)
     got = {(r.train_id, r.eval_id) for r in links.collect()}
     assert got == {(0, e) for e in range(6, 12)} | {(t, 6) for t in range(6)}
-    links, _ = contamination.overlaps(messages(spark, rows).limit(0))
-    assert links.count() == 0
+    none = contamination.overlap_classes(messages(spark, rows).limit(0))
+    assert contamination.overlaps(none).count() == 0 and contamination.counts(none).count() == 0
 
 
 # ---- 6 encoding
