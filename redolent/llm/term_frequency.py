@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redolent.functions.text import folded_items
+from redolent.session import materialize
 
 
 def latest(df: DataFrame, key: str, fields: list[str], loaded: str | None) -> DataFrame:
@@ -34,8 +35,9 @@ def term_rows(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     def tagged(field: str) -> Column:
         return F.transform(folded_items(F.col(field)), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 
-    parts = [tagged(f) for f in fields]
-    return records.select(F.inline(F.concat(*parts)), F.col(key).alias("record"))
+    # folded once: sorting by range reads its input twice, once to sample it
+    folded = materialize(records.select(F.concat(*[tagged(f) for f in fields]).alias("_t"), F.col(key).alias("record")), "folded")
+    return folded.select(F.inline("_t"), "record")
 
 
 def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
