@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,9 +24,13 @@ def fold_text(text: str | None) -> str | None:
     return _NOT_ALNUM.sub(" ", low).strip()
 
 
+#: Items repeat far more than whole texts do.
+_fold_item = lru_cache(maxsize=50_000)(fold_text)
+
+
 def fold_items(csv: str | None) -> list[str]:
     """The folded items of a CSV field, split at commas only; items that fold to nothing are dropped, repeats kept."""
-    return [] if csv is None else [x for x in map(fold_text, csv.split(",")) if x]
+    return [] if csv is None else [x for x in map(_fold_item, csv.split(",")) if x]
 
 
 @F.pandas_udf(T.StringType())

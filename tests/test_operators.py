@@ -186,3 +186,12 @@ def test_streams_agree_with_batch(spark, tmp_path):
         streaming.run_available(make(streaming.read_events(spark, str(src))), out, ck).awaitTermination()
         got = {tuple(r) for r in spark.read.parquet(out).select(*keys).collect()}
         assert got == {tuple(r) for r in batch.select(*keys).collect()}
+
+
+def test_fold_agrees_with_the_exact_fold(spark):
+    from redolent.functions import text
+
+    odd = ["Estée Lauder / L'Homme", "İYİ Çok ŞIK ıı", "ＯＵＤ, Rose", "ß ø ł đ", "äb̧, ć", None, "", " , ,", "“Niogapri” – Cendre…", "ﬁn de siècle", "Ǆ Ⅻ ²", "ªº", "ẋ", "ﾊﾞ", "Σίσυφος", "k, Å", "­so­ft", "tab\tnew\nline"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    for r in df.select("x", text.fold(F.col("x")).alias("f"), text.folded_items(F.col("x")).alias("g")).collect():
+        assert r.f == text.fold_text(r.x) and list(r.g) == text.fold_items(r.x), r.x
