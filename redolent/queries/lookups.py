@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from redolent.functions.text import fold
 from redolent.operators import relational as R
 from redolent.operators import resolve
-from redolent.queries.common import CASES, EDGES, FOLD, PLAIN, cases, edges, plain_items, query
-from redolent.session import table
+from redolent.plans import search
+from redolent.queries.common import CASES, EDGES, FOLD, ITEMS, PLAIN, cases, edges, items, plain_items, query
+from redolent.session import materialize, table
 
 
 
@@ -142,6 +143,36 @@ def resolve_cascade(spark, d):
     return resolve.resolve(hints, plain_items(spark, d))
 
 
+_CONF = "CASE WHEN up_votes + down_votes <= 0 THEN 0.0 ELSE (up_votes + 1) / (up_votes + down_votes + 2) * 0.72 + least(ln(1 + up_votes + down_votes) / ln(501), 1.0) * 0.28 END"
+
+
+def _sim(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) * 0.65 + len(list_intersect({a}, {b})) / least(len({a}), len({b})) * 0.35 END"
+
+
+@query(
+    "v10_from_hints",
+    f"""WITH r AS ({_HINTS}), {ITEMS}, {EDGES}, {CASES}, asked AS (SELECT hint_id, perfume_id AS source_id FROM r WHERE perfume_id IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY up_votes - down_votes DESC, up_votes DESC, target_id) AS rc FROM edges),
+s AS (SELECT c.source_id, b.perfume_id, b.label_norm, b.brand_norm, b.gender, b.popularity, list_concat(b.accords, b.notes) AS traits,
+ round(({_CONF}) * 0.68 + (({_sim('a.accords', 'b.accords')}) * 0.68 + ({_sim('a.notes', 'b.notes')}) * 0.32) * 0.24 + (CASE WHEN b.popularity > 0 THEN least(log10(b.popularity + 1) / log10(50000.0), 1.0) ELSE 0.0 END) * 0.08, 6) AS score
+ FROM c JOIN items b ON b.perfume_id = target_id JOIN items a ON a.perfume_id = source_id WHERE rc <= 200 AND b.label_norm IS DISTINCT FROM a.label_norm),
+f AS (SELECT hint_id, s.* FROM asked JOIN s USING (source_id) JOIN cases ON cases.id = hint_id
+ WHERE (coalesce(len(allowed_genders), 0) = 0 OR list_contains(allowed_genders, gender)) AND s.popularity >= coalesce(min_popularity, 0) AND (coalesce(len(must_exclude), 0) = 0 OR NOT list_has_any(traits, must_exclude))),
+l AS (SELECT *, row_number() OVER (PARTITION BY hint_id, label_norm ORDER BY score DESC, perfume_id) AS r1 FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY hint_id, brand_norm ORDER BY score DESC, perfume_id) AS r2 FROM l WHERE r1 = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY hint_id ORDER BY score DESC, perfume_id) AS rank FROM b WHERE r2 <= 2)
+SELECT hint_id, perfume_id, score, rank FROM k WHERE rank <= 10""",
+)
+def graph_from_hints(spark, d):
+    """Graph search for the typed reference of every case, with the case's genders, popularity and exclusions."""
+    own = cases(spark, d)
+    hints = own.where("trim(expected_resolved_reference) <> ''").select(F.col("id").alias("hint_id"), fold(F.col("expected_resolved_reference")).alias("hint_norm"))
+    resolved = materialize(resolve.resolve(hints, plain_items(spark, d)), "resolved")
+    asked = own.select(F.col("id").alias("hint_id"), F.col("allowed_genders").alias("genders"), F.col("min_popularity"), F.col("must_exclude").alias("excluded"))
+    return search.similar_to_hints(asked, items(spark, d), edges(spark, d), resolved)
+
+
 @query("e05_resolve_fuzzy")
 def resolve_fuzzy(spark, d):
     """The cascade with its last stage, the sequence ratio, which SQL has no counterpart for."""

@@ -277,12 +277,31 @@ def hybrid_catalog(spark, d):
 
 
 
-@query("v9_hybrid_search")
+_TEXT = "' ' || concat_ws(' ', name_norm, brand_norm, array_to_string(accords, ' '), array_to_string(notes, ' ')) || ' '"
+_NEAR = "1 - list_sum([x[1]::DOUBLE * x[2]::DOUBLE for x in list_zip(e.embedding, q.qe)])"
+_ASKED = "something warm like lizete for the evening"
+_POOLED = f"""WITH {ITEMS}, a AS (SELECT *, list_concat(accords, notes) AS traits FROM items), q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+near AS (SELECT a.*, {_NEAR} AS distance FROM a JOIN embeddings e ON e.vec_id = a.perfume_id, q ORDER BY distance, perfume_id LIMIT 120),
+w AS (SELECT * FROM a ORDER BY popularity DESC, rating DESC NULLS LAST, perfume_id LIMIT 4000),
+p AS (SELECT * FROM w WHERE NOT (contains({_TEXT}, ' aquatic ') OR {strength('aquatic', 'traits')} > 0) ORDER BY popularity DESC, rating DESC NULLS LAST, perfume_id LIMIT 140),
+pool AS (SELECT * FROM near UNION ALL SELECT p.*, {_NEAR} FROM p JOIN embeddings e ON e.vec_id = p.perfume_id, q WHERE p.perfume_id NOT IN (SELECT perfume_id FROM near)),
+t AS (SELECT *, {strength('musk', 'traits')}::DOUBLE AS t0, {strength('amber', 'traits')}::DOUBLE AS t1, {strength('office', 'traits')}::DOUBLE AS t2, coalesce(length(brand_norm) >= 4 AND contains(' {_ASKED} ', ' ' || brand_norm || ' '), false) AS hit FROM pool),
+u AS (SELECT (max(t0) > 0)::INT AS a0, (max(t1) > 0)::INT AS a1, (max(t2) > 0)::INT AS a2 FROM t),
+scored AS (SELECT t.*, round(greatest(0.0, 1 - distance), 6) AS semantic, CASE WHEN hit THEN 1 ELSE 2 END AS cap,
+ round(greatest(0.0, 1 - distance) * 0.62 + ({POP}) * 0.16 + ({RATING}) * 0.08 + (CASE WHEN a0 + a1 + a2 > 0 THEN (t0 * a0 + t1 * a1 + t2 * a2) / (a0 + a1 + a2) ELSE 0.0 END) * 0.14 - CASE WHEN hit THEN 0.14 ELSE 0.0 END, 6) AS score
+ FROM t, u WHERE NOT (contains({_TEXT}, ' aquatic ') OR {strength('aquatic', 'traits')} > 0)),
+l AS (SELECT *, row_number() OVER (PARTITION BY label_norm ORDER BY score DESC, perfume_id) AS r1 FROM scored),
+b AS (SELECT *, row_number() OVER (PARTITION BY brand_norm ORDER BY score DESC, perfume_id) AS r2 FROM l WHERE r1 = 1)
+SELECT perfume_id, name, brand, semantic::DOUBLE AS semantic, score::DOUBLE AS score FROM b WHERE r2 <= cap ORDER BY score DESC, perfume_id LIMIT 8"""
+
+
+@query("v9_hybrid_search", _POOLED)
 def hybrid_search(spark, d):
-    """The whole hybrid search with a query vector (embeddings stand in for the items' vectors by id)."""
+    """The whole hybrid search with a query vector (embeddings stand in for the items' vectors by id), a wanted term that no item
+    answers, and a brand in the words of the query."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("perfume_id"), "embedding")
     row = vectors.orderBy("perfume_id").select("embedding").first()
-    spec = search.SearchSpec(vector=tuple(row.embedding) if row else (), wanted=("musk", "amber"), excluded=("aquatic",))
+    spec = search.SearchSpec(vector=tuple(row.embedding) if row else (), wanted=("musk", "amber", "office"), excluded=("aquatic",), query=_ASKED)
     return search.hybrid(items(spark, d), vectors, spec)
 
 
@@ -304,11 +323,19 @@ def neighbours_batch(spark, d):
     return vector.nearest_batch(own, asked, 10).select("query_id", "vec_id", "rank", six(F.col("distance"), "distance"))
 
 
-@query("v05_relax", f"WITH {ITEMS}, l AS (SELECT * FROM items WHERE gender IN ('male', 'unisex')), s AS (SELECT * FROM l WHERE list_contains(seasons, 'winter') AND list_contains(times, 'day')) SELECT perfume_id, CASE WHEN perfume_id IN (SELECT perfume_id FROM s) THEN 0 ELSE 1 END AS tier FROM l WHERE perfume_id IN (SELECT perfume_id FROM s) OR (SELECT count(*) FROM s) < 100000000")
+@query("v05_relax", f"WITH {ITEMS}, l AS (SELECT * FROM items WHERE gender IN ('male', 'unisex')), s AS (SELECT * FROM l WHERE list_contains(seasons, 'winter') AND list_contains(times, 'day')) SELECT perfume_id, CASE WHEN perfume_id IN (SELECT perfume_id FROM s) THEN 0 ELSE 1 END AS tier FROM l WHERE perfume_id IN (SELECT perfume_id FROM s) OR (SELECT count(*) FROM s) < 20")
 def relax(spark, d):
     own = items(spark, d)
     strict, loose = own.where(filters.metadata_filter("male", "winter", "day")), own.where(filters.metadata_filter("male", "winter", "day", soft=False))
-    return search.relaxed(strict, loose, 100_000_000)
+    return search.relaxed(strict, loose, 20)
+
+
+@query("v05_relax_scarce", f"WITH {ITEMS}, l AS (SELECT * FROM items WHERE gender IN ('male', 'unisex') AND rating >= 4.9), s AS (SELECT * FROM l WHERE list_contains(seasons, 'winter') AND list_contains(times, 'day') AND popularity >= 1000000) SELECT perfume_id, CASE WHEN perfume_id IN (SELECT perfume_id FROM s) THEN 0 ELSE 1 END AS tier FROM l WHERE perfume_id IN (SELECT perfume_id FROM s) OR (SELECT count(*) FROM s) < 20")
+def relax_scarce(spark, d):
+    """So few strict matches that the loose ones come too."""
+    own = items(spark, d).where("rating >= 4.9")
+    strict, loose = own.where(filters.metadata_filter("male", "winter", "day", min_popularity=1_000_000)), own.where(filters.metadata_filter("male", "winter", "day", soft=False))
+    return search.relaxed(strict, loose, 20)
 
 
 @query("v07_popular_pool", f"WITH {ITEMS}, w AS (SELECT * FROM items WHERE gender IN ('female', 'unisex') ORDER BY popularity DESC, rating DESC NULLS LAST, perfume_id LIMIT 4000) SELECT perfume_id, popularity FROM w WHERE list_contains(seasons, 'summer') ORDER BY popularity DESC, rating DESC NULLS LAST, perfume_id LIMIT 140")

@@ -52,14 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for an intermediate table or file, remembered for sweep()."""
+    path = f"{shared_dir(spark)}/redolent-{name}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 
     Cuts the lineage with a copy that outlives lost executors, lets later steps prune columns, and keeps a table
     that several branches read from being computed once for each.
     """
-    path = f"{shared_dir(df.sparkSession)}/redolent-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

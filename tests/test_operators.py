@@ -98,11 +98,31 @@ def test_search_gates(spark):
 def test_hybrid_with_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "perfume_id long, embedding array<float>")
     rows = search.hybrid(catalog_of(spark), v, search.SearchSpec(vector=(1.0, 0.0))).collect()
-    assert [r.perfume_id for r in rows][0] == 1 and len(rows) == 3
+    assert [r.perfume_id for r in rows] == [1, 2]  # an item without a vector isn't in the store
     niche = search.hybrid(catalog_of(spark), v, search.SearchSpec(vector=(1.0, 0.0), mode="niche")).collect()
     assert {r.perfume_id for r in niche} == {1, 2}
 
 
+@pytest.mark.parametrize(("query", "cut"), [("something clean and fresh", 0.14), ("something cleaner", 0.0), ("clean by clean", 0.14)])
+def test_a_brand_in_the_words_of_the_query(spark, query, cut):
+    """Brand 'clean' is held by the query by accident: its items lose 0.14 and take one place."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.435889894]), (3, [0.95, 0.312249899])], "perfume_id long, embedding array<float>")
+    own = catalog_of(spark).withColumns({"brand_norm": F.when(F.col("perfume_id") < 3, "clean").otherwise("other"), "popularity": F.lit(0), "rating": F.lit(0.0)})
+    got = {r.perfume_id: r.score for r in search.hybrid(own, v, search.SearchSpec(vector=(1.0, 0.0), query=query)).collect()}
+    assert got[1] == pytest.approx(0.62 - cut) and set(got) == ({1, 3} if cut else {1, 2, 3})
+    asked = {r.perfume_id: r.score for r in search.hybrid(own.withColumn("brand", F.col("brand_norm")), v, search.SearchSpec(vector=(1.0, 0.0), query=query, brand="clean")).collect()}
+    assert asked[1] == pytest.approx(0.62) and set(asked) == {1, 2}
+
+
+def test_graph_search_for_hints(spark):
+    edges_ = spark.createDataFrame([(1, 2, 5900, 886), (1, 3, 10, 0), (1, 1, 9, 0)], "source_id long, target_id long, up_votes long, down_votes long")
+    hints = spark.createDataFrame([("a", None, None, None), ("b", None, 1000, None), ("c", ["nobody"], None, None), ("d", None, None, ["vanilla"]), ("e", None, None, None)], "hint_id string, genders array<string>, min_popularity int, excluded array<string>")
+    resolved = spark.createDataFrame([(k, None if k == "e" else 1) for k in "abcde"], "hint_id string, perfume_id long")
+    got = search.similar_to_hints(hints, catalog_of(spark), edges_, resolved).collect()
+    by = {k: [r.perfume_id for r in sorted(got, key=lambda r: r["rank"]) if r.hint_id == k] for k in "abcde"}
+    assert by == {"a": [2, 3], "b": [2], "c": [], "d": [3], "e": []} and max(r.score for r in got) > 0.7 * 0.68
+
+
 def test_diversify_is_the_greedy_pick(spark):
     rows = [(1, "a x", "x", 0.9), (2, "a x", "x", 0.8), (3, "b x", "x", 0.7), (4, "c x", "x", 0.6), (5, "d y", "y", 0.5)]
     df = spark.createDataFrame(rows, "perfume_id long, label_norm string, brand_norm string, score double")
