@@ -60,11 +60,16 @@ def rating_text(rating: Column, votes: Column, denominator: int = 5) -> Column:
 
 
 def card(catalog: DataFrame) -> DataFrame:
-    """(perfume_id, card_text): the record card; parts without data have no line."""
+    """(perfume_id, card_text): the record card."""
+    return catalog.select("perfume_id", card_text().alias("card_text"))
+
+
+def card_text() -> Column:
+    """The record card of an item; parts without data have no line."""
     line = lambda head, value: F.concat(F.lit(head), value)
     of_five = lambda c: F.when(F.col(c) > 0, F.format_string("%.2f/5", F.col(c)))
     performance = F.concat_ws(" | ", line("Longevity: ", of_five("longevity")), line("Sillage: ", of_five("sillage")))
-    text = F.concat_ws(
+    return F.concat_ws(
         "\n",
         line("Name: ", F.trim("name")),
         line("Brand: ", F.nullif(F.trim("brand"), F.lit(""))),
@@ -76,7 +81,6 @@ def card(catalog: DataFrame) -> DataFrame:
         line("Rating: ", rating_text(F.col("rating"), F.col("popularity"))),
         F.nullif(performance, F.lit("")),
     )
-    return catalog.select("perfume_id", text.alias("card_text"))
 
 
 def metric(card_text: Column, name: str, denominator: int = 5) -> Column:
@@ -107,10 +111,11 @@ def context_block(lines: Column) -> Column:
 
 
 def embedding_document(catalog: DataFrame) -> DataFrame:
-    """(perfume_id, document): the labelled lines that are embedded; blank ones are dropped."""
+    """(perfume_id, document): the text that is embedded: the record card, then a line for each field with all of its terms; blank parts are dropped."""
     line = lambda head, value: F.concat(F.lit(head), value)
-    text = F.concat_ws("\n", line("Name: ", F.trim("name")), line("Brand: ", F.nullif(F.trim("brand"), F.lit(""))), line("Gender: ", F.nullif(F.col("gender"), F.lit(""))), line("Accords: ", joined("accords")), line("Notes: ", joined(F.slice("notes", 1, 40))), line("Seasons: ", joined("seasons")), line("Times: ", joined("times")))
-    return catalog.select("perfume_id", text.alias("document"))
+    fields = [line("Name: ", F.trim("name")), line("Brand: ", F.nullif(F.trim("brand"), F.lit(""))), line("Gender: ", F.nullif(F.col("gender"), F.lit("")))]
+    fields += [line(head, joined(terms)) for head, terms in (("Accords: ", "accords"), ("Notes: ", "notes"), ("Best seasons: ", "seasons"), ("Time profile: ", "times"))]
+    return catalog.select("perfume_id", F.concat_ws("\n", F.nullif(card_text(), F.lit("")), *fields).alias("document"))
 
 
 def vector_metadata(catalog: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def clean_markup(text: Column) -> Column:
 
 
 #: Abbreviations whose point ends no sentence.
-ABBREVIATIONS = "mr mrs ms dr prof sr jr st vs etc inc ltd co no vol fig approx dept est ave blvd e.g i.e u.s u.k a.m p.m".split()
+ABBREVIATIONS = "mr mrs ms dr st prof gen rep sen col capt ltd inc co vs eg ie ca approx est min max vol temp wt oz ml p.m a.m".split()
 
 
 def first_sentences(text: Column, n: int = 2, fallback: int = 200) -> Column:
@@ -158,12 +163,37 @@ def note_list(notes: Column) -> Column:
     return F.when(F.size(tiers) > 0, tiers).otherwise(named(notes["flat"]))
 
 
-def performance_band(value: Column, thresholds: tuple[float, float, float, float]) -> Column:
-    """One of five bands by four ascending thresholds; 'unknown' without a positive value."""
-    a, b, c, d = thresholds
-    return F.when(value.isNull() | (value <= 0), "unknown").when(value < a, "very low").when(value < b, "low").when(value < c, "moderate").when(value < d, "high").otherwise("very high")
+#: The bands of each metric: four upper bounds (exclusive; quartiles and 95th percentile of a full catalog) and five names.
+BANDS = {
+    "longevity": ((2.31, 3.01, 3.57, 4.30), ("light; bottom catalog quartile", "moderate-light; below catalog median", "moderate; typical catalog range", "strong; top catalog quartile", "very strong; approximately top 5% of the catalog")),
+    "sillage": ((1.68, 2.15, 2.57, 3.15), ("restrained; bottom catalog quartile", "moderate-restrained; below catalog median", "moderate; typical catalog range", "noticeable/strong; top catalog quartile", "very strong; approximately top 5% of the catalog")),
+}
+
+
+def performance_band(name: str) -> Column:
+    """The band of a metric of an item; without a value, that there is none."""
+    bounds, names = BANDS[name]
+    out = F.when(F.col(name).isNull(), "not recorded; do not infer performance")
+    for bound, text in zip(bounds, names, strict=False):
+        out = out.when(F.col(name) < bound, text)
+    return out.otherwise(names[-1])
+
+
+def performance_group(name: str) -> Column:
+    """One of three groups: low in the first band, moderate up to the third, else high; unknown without a value."""
+    bounds, _ = BANDS[name]
+    return F.when(F.col(name).isNull(), "unknown").when(F.col(name) < bounds[0], "low").when(F.col(name) < bounds[2], "moderate").otherwise("high")
+
+
+def note_tiers(text: Column) -> Column:
+    """struct<top, middle, base, flat: array<string>> of the note lines of a card."""
+    parts = lambda x: F.filter(F.transform(F.split(F.substring_index(x, "|", 1), ","), lambda n: F.trim(n)), lambda n: n != "")
+    tier = lambda head: parts(F.regexp_extract(text, rf"{head} Notes:([^\n]*)", 1))
+    return F.struct(*[tier(t.capitalize()).alias(t) for t in ("top", "middle", "base")], parts(F.regexp_extract(text, r"(?m)^Notes:([^\n]*)", 1)).alias("flat"))
 
 
-def performance_group(band: Column) -> Column:
-    """The three-level group of a band."""
-    return F.when(band.isin("very low", "low"), "low").when(band == "moderate", "moderate").when(band.isin("high", "very high"), "high").otherwise("unknown")
+def profile_block(lines: dict[str, Column], confidence: Column) -> Column:
+    """A [USER PROFILE] text of the parts that are there (arrays of texts); one sentence where none is."""
+    body = F.concat_ws("\n", *[F.when(F.size(a) > 0, F.concat(F.lit(f"{head}: "), F.array_join(a, ", "))) for head, a in lines.items()])
+    full = F.concat(body, F.lit("\nProfile confidence: "), confidence)
+    return F.concat(F.lit("[USER PROFILE]\n"), F.when(body == "", "No stable preferences recorded yet.").otherwise(full), F.lit("\n[/USER PROFILE]"))

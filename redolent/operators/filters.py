@@ -165,20 +165,48 @@ def family(term: str) -> tuple[str, ...]:
     return FAMILIES.get(term, (term,) if term else ())
 
 
-#: What the answer of a closed question family is, by the words that open it.
-UNSUPPORTED = (("purchase", r"\b(buy|purchase|order|discount|coupon|shipping|satın al|sipariş)\b"), ("authenticity", r"\b(fake|counterfeit|authentic|batch code|sahte|orijinal mi)\b"), ("medical", r"\b(allerg|asthma|pregnan|rash|alerji|hamile)\w*"), ("formula", r"\b(formula|recipe|how to make|formül|tarif)\b"))
+#: Question families that the catalog can't answer, by what gives them away (case ignored); the first that fits counts.
+UNSUPPORTED = (
+    ("live_price", r"[$€£₺]\s*\d|\b(?:price|cost|dollars?|euros?|lira|tl|under \d+|cheap|cheaper|affordable)\b|\b(?:kaç para|fiyatı ne|ucuz|daha ucuz)\b"),
+    ("availability", r"\b(?:in stock|available now|availability|discontinued|where can i buy|still sold)\b|\b(?:stokta|satışta mı|satista mi|nereden alabilirim|üretiliyor mu)\b"),
+    ("medical_safety", r"\b(?:asthma|allergy|allergic|pregnan|eczema|migraine|safe for skin)\b|\b(?:astım|astim|alerji|hamile|egzama|migren)\b"),
+    ("compliments", r"\b(?:most complimented|compliment getter|gets? compliments?)\b|\ben çok iltifat\b"),
+    ("layering", r"\b(?:layer|layering|mix together)\b|\b(?:katmanla|katmanlama|birlikte sık)\b"),
+)
 
 
 def unsupported_intent(query: Column) -> Column:
-    """Which closed family a question belongs to, null if none; the first that fits."""
-    low = F.lower(query)
-    out = F.when(F.regexp(low, F.lit(UNSUPPORTED[0][1])), UNSUPPORTED[0][0])
+    """Which closed family a question belongs to, null if none."""
+    out = F.when(F.regexp(query, F.lit(f"(?i){UNSUPPORTED[0][1]}")), UNSUPPORTED[0][0])
     for name, pattern in UNSUPPORTED[1:]:
-        out = out.when(F.regexp(low, F.lit(pattern)), name)
+        out = out.when(F.regexp(query, F.lit(f"(?i){pattern}")), name)
     return out
 
 
+#: Openings that generated questions may not have (of words of a-z and '), and what gives a model's own talk away.
+BANNED_OPENINGS = ("could you suggest", "could you recommend", "can you suggest", "can you recommend", "i'm looking for", "im looking for")
+OWN_TALK = ("<think", "</think", "do you love", "are you more into")
+
+
 def bad_question(query: Column) -> Column:
-    """A generated question that can't be used: too short, open-ended at the end, or leaking the cards' words."""
+    """A generated question that can't be used: under 25 letters or 5 words, broken off at the end, a banned opening, or the model's own talk."""
     words = F.size(F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != ""))
-    return (F.length(query) < 25) | (words < 5) | F.regexp(F.trim(query), F.lit(r"[,;:\-]$")) | F.regexp(F.lower(query), F.lit(r"^(sure|here is|as an|certainly)\b")) | F.regexp(query, F.lit(r"\[PERFUMES\]"))
+    low = F.lower(query)
+    opening = F.array_join(F.slice(F.regexp_extract_all(F.translate(low, "’", "'"), F.lit("([a-z']+)"), 1), 1, 5), " ")
+    talk = any_of([low.contains(x) for x in OWN_TALK]) | F.startswith(low, F.lit("think "))
+    return (F.length(query) < 25) | (words < 5) | F.regexp(query, F.lit("['\",:]$")) | talk | any_of([F.startswith(opening, F.lit(x)) for x in BANNED_OPENINGS])
+
+
+#: Requests that ask for the fields of a record as they stand (case ignored).
+EXACT_LOOKUP = (
+    r"\b(database record|database says|recorded parameters|all fields)\b",
+    r"\b(display|show|list|give me|what are|what is)\b.*\b(fields|notes|accords|rating|longevity|sillage|value)\b",
+    r"\b(display|show|list|give me|what are|what is)\b.*\b(accord profile|seasonal suitability|suitability data|seasonal data|time profile)\b",
+    r"\b(exact|verbatim|full)\b.*\b(record|notes|accords|fields|database)\b",
+)
+
+
+def exact_lookup(message: Column) -> Column:
+    """Whether a message, without the record cards before it, asks for a record's fields as they stand."""
+    tail = F.substring_index(message, "[/PERFUMES]", -1)
+    return any_of([F.regexp(tail, F.lit(f"(?i){p}")) for p in EXACT_LOOKUP])

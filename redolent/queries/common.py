@@ -25,6 +25,12 @@ ONCE = "once AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTIT
 #: Items without their term lists, and with them.
 PLAIN = f"{ONCE}, items AS (SELECT * REPLACE (coalesce(popularity, 0) AS popularity, lower(trim(coalesce(gender, ''))) AS gender) FROM once)"
 ITEMS = f"{ONCE}, items AS (SELECT * REPLACE (coalesce(popularity, 0) AS popularity, lower(trim(coalesce(gender, ''))) AS gender), list_distinct({_terms('accords_csv')}) AS accords, list_distinct({_terms('notes_csv')}) AS notes, list_distinct({_terms('seasons_csv')}) AS seasons, list_distinct({_terms('time_profile_csv')}) AS times FROM once)"
+_FACETS = {"accords": "accords_csv", "notes": "notes_csv", "seasons": "seasons_csv", "times": "time_profile_csv"}
+#: Items whose term lists keep the order of the fields.
+ORDERED = (
+    f"{ONCE}, raw AS (SELECT *, " + ", ".join(f"{_terms(c)} AS {k}" for k, c in _FACETS.items()) + " FROM once), "
+    "items AS (SELECT * REPLACE (coalesce(popularity, 0) AS popularity, lower(trim(coalesce(gender, ''))) AS gender, " + ", ".join(f"[x for x, i in {k} if list_position({k}, x) = i] AS {k}" for k in _FACETS) + ") FROM raw)"
+)
 EDGES = "edges AS (SELECT source_id, target_id, coalesce(up_votes, 0) AS up_votes, coalesce(down_votes, 0) AS down_votes FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY ingested_at DESC NULLS LAST, coalesce(up_votes, 0) DESC, coalesce(down_votes, 0) DESC) AS rn FROM similarity_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL) WHERE rn = 1)"
 CASES = "cases AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query DESC NULLS LAST) AS rn FROM retrieval_eval_cases WHERE id IS NOT NULL) WHERE rn = 1)"
 PAIRS = """msg AS (SELECT *, row_number() OVER (PARTITION BY sample_id, CASE role WHEN 'user' THEN 'u' WHEN 'system' THEN 's' ELSE 'a' END ORDER BY ingested_at DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM sample_messages WHERE sample_id IS NOT NULL),

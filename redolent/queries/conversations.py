@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from redolent.operators import catalog as C
 from redolent.operators import conversations as V
+from redolent.operators import filters
 from redolent.operators import relational as R
 from redolent.queries.common import CASES, FOLD, PAIRS, PLAIN, cases, pairs, plain_items, query
 from redolent.session import table
@@ -76,18 +77,33 @@ def word_stats(spark, d):
     return pairs(spark, d).where("question IS NOT NULL").groupBy("source").agg(F.min(n).cast("long").alias("least"), F.max(n).cast("long").alias("most"), F.round(F.avg(n), 4).alias("mean"))
 
 
-@query("f22_bad_questions", f"WITH {PAIRS} SELECT sample_id FROM pairs WHERE length(question) < 25 OR len([x for x in regexp_split_to_array(trim(question), '\\s+') if x <> '']) < 5 OR regexp_matches(trim(question), '[,;:\\-]$') OR regexp_matches(lower(question), '^(sure|here is|as an|certainly)\\b') OR contains(question, '[PERFUMES]')")
-def bad_questions(spark, d):
-    from redolent.operators.filters import bad_question
+_OPENINGS = " OR ".join("starts_with(o, '{}')".format(x.replace("'", "''")) for x in filters.BANNED_OPENINGS)
+_TALK = " OR ".join(f"contains(q, '{x}')" for x in filters.OWN_TALK)
+
 
-    return pairs(spark, d).where(bad_question(F.col("question"))).select("sample_id")
+@query(
+    "f22_bad_questions",
+    f"WITH {PAIRS}, q AS (SELECT sample_id, question, lower(question) AS q, array_to_string(regexp_extract_all(translate(lower(question), '’', chr(39)), '([a-z\\x27]+)', 1)[1:5], ' ') AS o FROM pairs) "
+    "SELECT sample_id FROM q WHERE length(question) < 25 OR len([x for x in regexp_split_to_array(trim(question), '\\s+') if x <> '']) < 5 "
+    f"OR regexp_matches(question, '[\\x27\",:]$') OR {_TALK} OR starts_with(q, 'think ') OR {_OPENINGS}",
+)
+def bad_questions(spark, d):
+    return pairs(spark, d).where(filters.bad_question(F.col("question"))).select("sample_id")
 
 
-@query("f20_unsupported", f"WITH {PAIRS}, q AS (SELECT sample_id, lower(question) AS q FROM pairs) SELECT sample_id, CASE WHEN regexp_matches(q, '\\b(buy|purchase|order|discount|coupon|shipping|satın al|sipariş)\\b') THEN 'purchase' WHEN regexp_matches(q, '\\b(fake|counterfeit|authentic|batch code|sahte|orijinal mi)\\b') THEN 'authenticity' WHEN regexp_matches(q, '\\b(allerg|asthma|pregnan|rash|alerji|hamile)\\w*') THEN 'medical' WHEN regexp_matches(q, '\\b(formula|recipe|how to make|formül|tarif)\\b') THEN 'formula' END AS family FROM q")
+@query("f20_unsupported", f"WITH {PAIRS} SELECT sample_id, CASE " + " ".join(f"WHEN regexp_matches(question, '{p}', 'i') THEN '{k}'" for k, p in filters.UNSUPPORTED) + " END AS family FROM pairs")
 def unsupported(spark, d):
-    from redolent.operators.filters import unsupported_intent
+    return pairs(spark, d).select("sample_id", filters.unsupported_intent(F.col("question")).alias("family"))
+
 
-    return pairs(spark, d).select("sample_id", unsupported_intent(F.col("question")).alias("family"))
+@query(
+    "f21_exact_lookup",
+    f"WITH {PAIRS}, t AS (SELECT sample_id, string_split(question, '[/PERFUMES]')[-1] AS tail FROM pairs WHERE question IS NOT NULL) SELECT sample_id FROM t WHERE "
+    + " OR ".join(f"regexp_matches(tail, '{p}', 'i')" for p in filters.EXACT_LOOKUP),
+)
+def exact_lookups(spark, d):
+    """Questions that ask for a record's fields as they stand."""
+    return pairs(spark, d).where(filters.exact_lookup(F.col("question"))).select("sample_id")
 
 
 @query("f23_first_seen", f"WITH {PAIRS}, k AS (SELECT sample_id, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS key FROM pairs WHERE question IS NOT NULL) SELECT min(sample_id) AS sample_id FROM k GROUP BY key")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from redolent.operators import catalog as C
 from redolent.operators import relational as R
 from redolent.operators import state
-from redolent.queries.common import EDGES, ITEMS, PLAIN, edges, items, plain_items, query
+from redolent.queries.common import EDGES, ITEMS, ORDERED, PLAIN, edges, items, plain_items, query
 from redolent.session import table
 
 
@@ -61,13 +61,19 @@ def vote_shares(spark, d):
     return maps.select("l_partkey", F.array_join(F.array_sort(C.vote_shares(F.col("votes"))), ",").alias("quarters"))
 
 
+_TITLED = "array_to_string([upper(x[1]) || lower(x[2:]) for x in seasons], ', ')"
+_CARD = f"""concat_ws(chr(10), 'Name: ' || trim(name), 'Brand: ' || nullif(trim(brand), ''), 'Gender: ' || nullif(gender, ''), 'Year: ' || year::VARCHAR, 'Accords: ' || nullif(array_to_string(accords, ', '), ''),
+ 'Notes: ' || nullif(array_to_string(notes, ', '), ''), 'Seasons: ' || nullif({_TITLED}, ''), CASE WHEN rating IS NOT NULL AND popularity > 0 THEN 'Rating: ' || printf('%.2f', rating) || '/5 (' || popularity || ' votes)' END,
+ nullif(concat_ws(' | ', CASE WHEN longevity > 0 THEN 'Longevity: ' || printf('%.2f', longevity) || '/5' END, CASE WHEN sillage > 0 THEN 'Sillage: ' || printf('%.2f', sillage) || '/5' END), ''))"""
+
+
 @query("t08_cards", f"WITH {ITEMS} SELECT perfume_id, concat_ws(chr(10), 'Name: ' || trim(name), 'Brand: ' || nullif(trim(brand), ''), 'Gender: ' || nullif(gender, ''), 'Year: ' || year::VARCHAR, CASE WHEN rating IS NOT NULL AND popularity > 0 THEN 'Rating: ' || printf('%.2f', rating) || '/5 (' || popularity || ' votes)' END) AS head FROM items")
 def cards(spark, d):
     own = items(spark, d).select("perfume_id", "name", "brand", "gender", "year", "rating", "popularity", *[F.array().cast("array<string>").alias(c) for c in ("accords", "notes", "seasons")], F.lit(None).cast("double").alias("longevity"), F.lit(None).cast("double").alias("sillage"))
     return C.card(own).select("perfume_id", F.col("card_text").alias("head"))
 
 
-@query("t08_cards_all")
+@query("t08_cards_all", f"WITH {ORDERED} SELECT perfume_id, {_CARD} AS card_text FROM items")
 def cards_all(spark, d):
     """The whole card of every item, with accords, notes, seasons, longevity and sillage."""
     return C.card(items(spark, d)).select("perfume_id", "card_text")
@@ -86,9 +92,47 @@ def card_lists(spark, d):
     return text.select("perfume_id", F.size(C.card_list(F.col("card_text"), "Accords")).alias("accords"), F.size(C.card_list(F.col("card_text"), "Notes")).alias("notes"))
 
 
-@query("t16_documents", f"WITH {ITEMS} SELECT perfume_id, length(concat_ws(chr(10), 'Name: ' || trim(name), 'Brand: ' || nullif(trim(brand), ''), 'Gender: ' || nullif(gender, ''), 'Accords: ' || nullif(array_to_string(accords, ', '), ''), 'Notes: ' || nullif(array_to_string(notes, ', '), ''), 'Seasons: ' || nullif(array_to_string(seasons, ', '), ''), 'Times: ' || nullif(array_to_string(times, ', '), '')))::INT AS chars FROM items")
+@query(
+    "t16_documents",
+    f"""WITH {ORDERED} SELECT perfume_id, md5(concat_ws(chr(10), nullif({_CARD}, ''), 'Name: ' || trim(name), 'Brand: ' || nullif(trim(brand), ''), 'Gender: ' || nullif(gender, ''), 'Accords: ' || nullif(array_to_string(accords, ', '), ''),
+ 'Notes: ' || nullif(array_to_string(notes, ', '), ''), 'Best seasons: ' || nullif(array_to_string(seasons, ', '), ''), 'Time profile: ' || nullif(array_to_string(times, ', '), ''))) AS document FROM items""",
+)
 def documents(spark, d):
-    return C.embedding_document(items(spark, d)).select("perfume_id", F.length("document").alias("chars"))
+    """The embedding text of every item, by its hash."""
+    return C.embedding_document(items(spark, d)).select("perfume_id", F.md5("document").alias("document"))
+
+
+@query(
+    "t13_note_tiers",
+    f"WITH {ORDERED} SELECT perfume_id, array_to_string(notes[1:2], '|') AS top, array_to_string(notes[3:4], '|') AS middle, array_to_string(notes[5:], '|') AS base, array_to_string(notes, '|') AS flat FROM items",
+)
+def note_tiers(spark, d):
+    """Note tiers written into a card and parsed back (the catalog's first notes stand in for the upper tiers)."""
+    part = lambda a, n: F.array_join(F.slice("notes", a, n), ", ")
+    tiers = [F.concat(F.lit(f"{head} Notes: "), part(a, n)) for head, a, n in (("Top", 1, 2), ("Middle", 3, 2), ("Base", 5, 10_000))]
+    text = F.concat_ws("\n", F.concat_ws(" | ", *tiers), F.concat(F.lit("Notes: "), part(1, 10_000)))
+    parsed = items(spark, d).select("perfume_id", C.note_tiers(text).alias("t"))
+    return parsed.select("perfume_id", *[F.array_join(f"t.{k}", "|").alias(k) for k in ("top", "middle", "base", "flat")])
+
+
+@query(
+    "t22_profile_blocks",
+    f"""WITH {ORDERED}, {EDGES}, r AS (SELECT source_id, name, row_number() OVER (PARTITION BY source_id ORDER BY up_votes DESC, target_id) AS rn FROM edges JOIN items ON perfume_id = target_id WHERE up_votes > down_votes AND trim(name) <> ''),
+l AS (SELECT source_id, string_agg(trim(name), ', ' ORDER BY rn) AS liked, count(*) AS n FROM r WHERE rn <= 3 GROUP BY 1)
+SELECT perfume_id, '[USER PROFILE]' || chr(10) || CASE WHEN liked IS NULL AND len(accords) = 0 THEN 'No stable preferences recorded yet.'
+ ELSE concat_ws(chr(10), 'Liked perfumes: ' || liked, 'Liked accords: ' || nullif(array_to_string(accords[1:2], ', '), '')) || chr(10) || 'Profile confidence: ' || CASE WHEN n >= 3 THEN 'high' ELSE 'low' END END || chr(10) || '[/USER PROFILE]' AS block
+FROM items LEFT JOIN l ON source_id = perfume_id""",
+)
+def profile_blocks(spark, d):
+    """A profile for every item taken as a user: its three best liked neighbours and its first accords."""
+    own = items(spark, d)
+    named = own.where("trim(name) <> ''").select("perfume_id", F.trim("name").alias("name"))
+    liked = edges(spark, d).where("up_votes > down_votes").join(named, F.col("target_id") == F.col("perfume_id")).select("source_id", "target_id", "up_votes", "name")
+    best = R.top_k_per(liked, ["source_id"], 3, F.col("up_votes").desc(), F.col("target_id"))
+    lists = best.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("liked"))  # three at most
+    both = own.join(lists, F.col("perfume_id") == F.col("source_id"), "left")
+    parts = {"Liked perfumes": F.coalesce("liked", F.array().cast("array<string>")), "Liked accords": F.slice("accords", 1, 2)}
+    return both.select("perfume_id", C.profile_block(parts, F.when(F.size("liked") >= 3, "high").otherwise("low")).alias("block"))
 
 
 @query("t17_vector_metadata", f"WITH {ITEMS} SELECT perfume_id, coalesce(rating, 0.0) AS rating, popularity, " + ", ".join(f"list_contains(seasons, '{s}') AS season_{s}" for s in ("spring", "summer", "autumn", "winter")) + ", list_contains(times, 'day') AS time_day, list_contains(times, 'night') AS time_night FROM items")
@@ -111,13 +155,15 @@ def labels(spark, d):
     return plain_items(spark, d).select("perfume_id", C.label(F.col("name"), F.col("brand"), F.col("name_norm"), F.col("brand_norm")).alias("label"))
 
 
-_BANDS = "CASE WHEN longevity IS NULL OR longevity <= 0 THEN 'unknown' WHEN longevity < 2 THEN 'very low' WHEN longevity < 2.75 THEN 'low' WHEN longevity < 3.5 THEN 'moderate' WHEN longevity < 4.25 THEN 'high' ELSE 'very high' END"
+def _bands(name: str) -> str:
+    bounds, names = C.BANDS[name]
+    whens = " ".join(f"WHEN {name} < {b} THEN '{t}'" for b, t in zip(bounds, names, strict=False))
+    return f"CASE WHEN {name} IS NULL THEN 'not recorded; do not infer performance' {whens} ELSE '{names[-1]}' END AS {name}, CASE WHEN {name} IS NULL THEN 'unknown' WHEN {name} < {bounds[0]} THEN 'low' WHEN {name} < {bounds[2]} THEN 'moderate' ELSE 'high' END AS {name}_group"
 
 
-@query("t25_performance_bands", f"WITH {PLAIN}, b AS (SELECT perfume_id, {_BANDS} AS band FROM items) SELECT perfume_id, band, CASE WHEN band IN ('very low', 'low') THEN 'low' WHEN band = 'moderate' THEN 'moderate' WHEN band IN ('high', 'very high') THEN 'high' ELSE 'unknown' END AS grp FROM b")
+@query("t25_performance_bands", f"WITH {PLAIN} SELECT perfume_id, {_bands('longevity')}, {_bands('sillage')} FROM items")
 def performance_bands(spark, d):
-    band = C.performance_band(F.col("longevity"), (2.0, 2.75, 3.5, 4.25))
-    return plain_items(spark, d).select("perfume_id", band.alias("band")).withColumn("grp", C.performance_group(F.col("band")))
+    return plain_items(spark, d).select("perfume_id", *[c for n in C.BANDS for c in (C.performance_band(n).alias(n), C.performance_group(n).alias(f"{n}_group"))])
 
 
 @query("t25_thresholds", f"WITH {PLAIN} SELECT round(quantile_cont(longevity, 0.25), 6) AS p25, round(quantile_cont(longevity, 0.5), 6) AS p50, round(quantile_cont(longevity, 0.75), 6) AS p75, round(quantile_cont(longevity, 0.95), 6) AS p95 FROM items WHERE longevity > 0")
