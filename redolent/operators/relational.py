@@ -117,12 +117,23 @@ def round_robin(df: DataFrame, group: str, failed: Column, limit: int, tiebreak:
     return cut.orderBy(F.when(failed, 0).otherwise(1), "turn", group, tiebreak).limit(limit)
 
 
-def carry_forward(turns: DataFrame, session: str, order: str, ids: str, is_new: str) -> DataFrame:
-    """What a session has recommended before each turn; a new request starts afresh."""
-    w = Window.partitionBy(session).orderBy(order)
-    segment = F.sum(F.col(is_new).cast("int")).over(w)
-    before = Window.partitionBy(session, "segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("segment", segment).withColumn("seen", F.array_distinct(F.flatten(F.collect_list(ids).over(before))))
+def carry_forward(turns: DataFrame, session: str, order: list[str], ids: str, is_new: str) -> DataFrame:
+    """Each turn with `before` (different ids that its session has given since its last new request), `again` (how many of the
+    turn's own different ids are among them) and `fresh` (null for the first turn with ids, else whether none is).
+
+    turns have a unique order within a session; a turn without ids gives none. Linear in the ids: each is marked where it
+    first comes, and counts run over the marks; no list grows with a session."""
+    w = Window.partitionBy(session).orderBy(*order)
+    own = turns.withColumn("_segment", F.sum(F.coalesce(F.col(is_new), F.lit(False)).cast("int")).over(w))
+    key = [session, "_segment"]
+    each = own.select(*key, *order, F.explode_outer(F.array_distinct(F.array_compact(ids))).alias("_id"))
+    first = F.row_number().over(Window.partitionBy(*key, "_id").orderBy(*order)) == 1
+    by = each.withColumn("_first", F.col("_id").isNotNull() & first).groupBy(*key, *order).agg(F.count_if("_first").alias("_new"), F.count("_id").alias("_n"))
+    past = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = by.withColumn("before", F.coalesce(F.sum("_new").over(past), F.lit(0)))
+    again = F.col("_n") - F.col("_new")
+    run = run.select(*key, *order, "before", again.alias("again"), F.when((F.col("before") > 0) & (F.col("_n") > 0), again == 0).alias("fresh"))
+    return own.join(run, [*key, *order]).drop("_segment")
 
 
 def sessionize(events: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -64,6 +64,28 @@ def ratio_if_close(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def deletions(text: Column, most: int = 2) -> Column:
+    """array<string>: a text and all that is left of it with up to `most` letters taken out (1 + n + n(n-1)/2 for two)."""
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    level = F.array(text)
+    out = [level]
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        out.append(level)
+    return F.array_distinct(F.concat(*out))
+
+
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
+    """All pairs of texts of two tables that differ by at most `most` edits, with their distance; columns of both are kept.
+
+    Texts within n edits have a text in common that each gives with at most n letters taken out, so an equality join on these
+    finds every pair, whichever letters are wrong. Both sides should hold distinct texts."""
+    l = left.select("*", F.explode(deletions(F.col(a), most)).alias("_k"))  # noqa: E741
+    r = right.select("*", F.explode(deletions(F.col(b), most)).alias("_k"))
+    pairs = l.join(r, "_k").drop("_k").distinct()
+    return pairs.withColumn("distance", F.levenshtein(a, b, most)).where("distance >= 0")
+
+
 def brand_totals(items: DataFrame) -> DataFrame:
     """(brand_norm, brand, total): each brand's popularity and its most popular spelling."""
     spelled = items.where("coalesce(trim(brand), '') <> ''").groupBy("brand_norm", F.trim("brand").alias("brand")).agg(F.sum("popularity").alias("n"))

@@ -226,13 +226,17 @@ def not_yet_embedded(spark, d):
     return plain_items(spark, d).join(done, "perfume_id", "left_anti").select("perfume_id")
 
 
-@query("w13_carry_forward", "WITH o AS (SELECT event_id, user_id, ts, event_type, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o")
+@query(
+    "w13_carry_forward",
+    """WITH o AS (SELECT event_id, user_id, ts, (floor(value)::BIGINT % 12) AS id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM events),
+f AS (SELECT *, CASE WHEN id IS NOT NULL AND row_number() OVER (PARTITION BY user_id, seg, id ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS fst FROM o),
+b AS (SELECT *, coalesce(sum(fst) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, (CASE WHEN id IS NULL THEN 0 ELSE 1 - fst END)::BIGINT AS again FROM f)
+SELECT event_id, before, again, CASE WHEN before > 0 AND id IS NOT NULL THEN again = 0 END AS fresh FROM b""",
+)
 def carry_forward(spark, d):
-    """What a session has seen before each event; a signup starts afresh."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seg = F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w)
-    before = Window.partitionBy("user_id", "seg").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").withColumn("seg", seg).select("event_id", F.count("*").over(before).alias("before"))
+    """What a session has given before each event, and whether the event repeats any of it; a signup starts afresh."""
+    own = table(spark, d, "events").select("event_id", "user_id", "ts", F.array((F.floor("value") % 12).cast("long")).alias("ids"), (F.col("event_type") == "signup").alias("is_new"))
+    return R.carry_forward(own, "user_id", ["ts", "event_id"], "ids", "is_new").select("event_id", "before", "again", "fresh")
 
 
 @query("w15_inherited", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")

@@ -78,13 +78,19 @@ def soft_score(spark, d):
 
 @query("m15_resolution_score")
 def resolution_score(spark, d):
-    """References scored against the items whose name begins alike (sequence ratios have no SQL counterpart)."""
-    refs = cases(spark, d).where("trim(expected_resolved_reference) <> ''").select("id", fold(F.col("expected_resolved_reference")).alias("t"))
+    """References scored against all items that share a word of their name or have their brand (sequence ratios have no SQL counterpart).
+
+    Distinct hints meet distinct pairs of name and brand, of which only the most popular item can win."""
+    refs = cases(spark, d).where("trim(expected_resolved_reference) <> ''").select("id", fold(F.col("expected_resolved_reference")).alias("t")).where("t <> ''")
     name, brand = resolve.split_hint(F.col("t"))
-    hints = refs.select("id", name.alias("hint"), brand.alias("brand_hint"), F.element_at(F.split(name, " "), 1).alias("w")).where(F.length("w") > 4)
-    own = plain_items(spark, d).where("name_norm IS NOT NULL").select("perfume_id", "name_norm", "brand_norm", "popularity", F.element_at(F.split("name_norm", " "), 1).alias("w"))
-    scored = hints.join(own, "w").withColumn("score", F.round(resolve.resolution_score("hint", "brand_hint"), 6))
-    return R.top_k_per(scored, ["id"], 1, F.col("score").desc(), F.col("perfume_id")).select("id", "perfume_id", "score")
+    hints = refs.select("t").distinct().select("t", name.alias("hint"), brand.alias("brand_hint"))
+    own = plain_items(spark, d).where("name_norm <> ''").groupBy("name_norm", "brand_norm").agg(F.max(F.struct("popularity", (-F.col("perfume_id")).alias("minus"))).alias("p"))
+    own = own.select("name_norm", "brand_norm", "p.popularity", (-F.col("p.minus")).alias("perfume_id"))
+    keys = lambda words, house: F.explode(F.array_distinct(F.concat(F.split(words, " "), F.array_compact(F.array(F.concat(F.lit("@"), house))))))
+    pairs = hints.select("*", keys("hint", F.col("brand_hint")).alias("w")).join(own.select("*", keys("name_norm", F.col("brand_norm")).alias("w")), "w").where("w <> ''").drop("w").distinct()
+    scored = pairs.withColumn("score", F.round(resolve.resolution_score("hint", "brand_hint"), 6))
+    best = scored.groupBy("t").agg(F.max(F.struct("score", "popularity", (-F.col("perfume_id")).alias("minus"))).alias("b"))
+    return refs.join(best, "t").select("id", (-F.col("b.minus")).alias("perfume_id"), "b.score")
 
 
 @query("m19_ratio_counts", f"WITH {PAIRS}, t AS (SELECT count(*) AS n FROM pairs), r(k, pos, ratio) AS (VALUES ('L1', 1, 0.15), ('L2', 2, 0.25), ('L3', 3, 0.22), ('L4', 4, 0.2), ('L5', 5, 0.18)), b AS (SELECT k, pos, round_even(n * ratio, 0)::BIGINT AS c, n FROM r, t) SELECT k AS level, (c + CASE WHEN pos = 1 THEN n - (SELECT sum(c) FROM b) ELSE 0 END)::BIGINT AS n FROM b")
@@ -136,23 +142,26 @@ def route(spark, d):
     return pairs(spark, d).where("question IS NOT NULL").select("sample_id", q.alias("q")).select("sample_id", out.alias("route"))
 
 
-@query("j13_fuzzy_brands", f"WITH {PLAIN}, t AS (SELECT DISTINCT brand_norm AS typed FROM items WHERE length(brand_norm) > 4), l AS (SELECT brand_id, {FOLD.format('brand')} AS listed FROM brand_list) SELECT typed, brand_id, levenshtein(typed, listed)::INT AS distance FROM t JOIN l ON typed[1:2] = listed[1:2] WHERE levenshtein(typed, listed) BETWEEN 1 AND 2")
+@query(
+    "j13_fuzzy_brands",
+    f"WITH {PLAIN}, t AS (SELECT DISTINCT brand_norm AS typed FROM items WHERE length(brand_norm) > 4), l AS (SELECT brand_id, {FOLD.format('brand')} AS listed FROM brand_list) "
+    "SELECT typed, brand_id, levenshtein(typed, listed)::INT AS distance FROM t, l WHERE levenshtein(typed, listed) BETWEEN 1 AND 2",
+)
 def fuzzy_brands(spark, d):
-    """Typed brands near a listed one, blocked by two letters."""
-    typed = plain_items(spark, d).where(F.length("brand_norm") > 4).select(F.col("brand_norm").alias("typed"), F.substring("brand_norm", 1, 2).alias("h")).distinct()
-    listed = table(spark, d, "brand_list").select("brand_id", fold(F.col("brand")).alias("listed")).withColumn("h", F.substring("listed", 1, 2))
-    near = typed.join(F.broadcast(listed), "h").select("typed", "brand_id", F.levenshtein("typed", "listed", 2).alias("distance"))
-    return near.where("distance >= 1")
+    """Typed brands within two letters of a listed one, wherever the slips are."""
+    typed = plain_items(spark, d).where(F.length("brand_norm") > 4).select(F.col("brand_norm").alias("typed")).distinct()
+    listed = table(spark, d, "brand_list").select("brand_id", fold(F.col("brand")).alias("listed"))
+    return resolve.within_edits(typed, listed, "typed", "listed").where("distance >= 1").select("typed", "brand_id", "distance")
 
 
-_SPANS = f"WITH {PLAIN}, {CASES}, w AS (SELECT id, string_split({FOLD.format('query')}, ' ') AS t FROM cases WHERE query IS NOT NULL), g AS (SELECT id, i AS first, n, array_to_string(t[i:i + n - 1], ' ') AS mention FROM w, range(1, 60) p(i), range(1, 7) r(n) WHERE i + n - 1 <= len(t)), m AS (SELECT g.* FROM g JOIN (SELECT DISTINCT name_norm FROM items WHERE length(name_norm) >= 4) ON mention = name_norm)"
+_SPANS = f"WITH {PLAIN}, {CASES}, w AS (SELECT id, string_split({FOLD.format('query')}, ' ') AS t FROM cases WHERE query IS NOT NULL), g AS (SELECT id, i AS first, n, array_to_string(t[i:i + n - 1], ' ') AS mention FROM w, range(1, 60) p(i), range(1, 9) r(n) WHERE i + n - 1 <= len(t)), m AS (SELECT g.* FROM g JOIN (SELECT DISTINCT name_norm FROM items WHERE length(name_norm) >= 4) ON mention = name_norm)"
 
 
 @query("w20_longest_mentions", _SPANS + " SELECT id, first, mention FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = m.id AND o.n > m.n AND o.first <= m.first AND o.first + o.n >= m.first + m.n)")
 def longest_mentions(spark, d):
     """Mentions of names in questions, less those inside a longer one."""
     own = cases(spark, d).where("query IS NOT NULL").select("id", F.split(fold(F.col("query")), " ").alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
     names = plain_items(spark, d).where(F.length("name_norm") >= 4).select(F.col("name_norm").alias("mention")).distinct()
     m = own.select("id", F.inline(spans)).join(names, "mention")
     o = m.select(F.col("id").alias("oid"), F.col("first").alias("of"), F.col("n").alias("on"))
@@ -256,7 +265,7 @@ def case_results(spark, d):
     """
     own, every = materialize(items(spark, d), "items"), materialize(cases(spark, d), "cases")
     asked = every.where("query IS NOT NULL").select("id", F.split(fold(F.col("query")), " ").alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
     spans = materialize(asked.select("id", F.inline(spans)), "spans")
     names = resolve.best_item(own.where(F.length("name_norm") >= 4).select(F.col("name_norm").alias("mention"), "perfume_id", "popularity", "rating"), "mention")
     named = materialize(spans.join(names, "mention").groupBy("id").agg(F.max_by("perfume_id", F.struct("n", -F.col("first"))).alias("query_id")), "named")

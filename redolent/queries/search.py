@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redolent.operators import filters, scoring, vector
+from redolent.functions.text import fold
+from redolent.operators import filters, resolve, scoring, vector
 from redolent.operators import relational as R
 from redolent.operators.catalog import facets
 from redolent.plans import search
@@ -162,28 +163,30 @@ def minmax(spark, d):
     return own.join(span, "brand_norm").select("perfume_id", six(scoring.minmax(F.col("popularity"), F.col("low"), F.col("high")), "norm"))
 
 
-@query("m18_levenshtein", f"WITH {PLAIN}, b AS (SELECT DISTINCT brand_norm FROM items WHERE length(brand_norm) >= 4), k AS (SELECT brand_norm, brand_norm[1:3] AS h FROM b) SELECT a.brand_norm AS left_brand, b.brand_norm AS right_brand, levenshtein(a.brand_norm, b.brand_norm)::INT AS distance FROM k a JOIN k b ON a.h = b.h AND a.brand_norm < b.brand_norm WHERE levenshtein(a.brand_norm, b.brand_norm) <= 2")
+@query(
+    "m18_levenshtein",
+    f"WITH {PLAIN}, b AS (SELECT DISTINCT brand_norm FROM items WHERE length(brand_norm) >= 4) SELECT a.brand_norm AS left_brand, b.brand_norm AS right_brand, levenshtein(a.brand_norm, b.brand_norm)::INT AS distance "
+    "FROM b a JOIN b ON a.brand_norm < b.brand_norm WHERE levenshtein(a.brand_norm, b.brand_norm) <= 2",
+)
 def levenshtein(spark, d):
-    """Brands that differ by two letters at most, blocked by their first three."""
-    own = plain_items(spark, d).where(F.length("brand_norm") >= 4).select("brand_norm", F.substring("brand_norm", 1, 3).alias("h")).distinct()
-    both = own.alias("a").join(own.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.brand_norm") < F.col("b.brand_norm")))
-    near = both.select(F.col("a.brand_norm").alias("left_brand"), F.col("b.brand_norm").alias("right_brand"), F.levenshtein("a.brand_norm", "b.brand_norm", 2).alias("distance"))
-    return near.where("distance >= 0")
+    """All brands that differ by two letters at most, wherever these are."""
+    own = plain_items(spark, d).where(F.length("brand_norm") >= 4).select("brand_norm").distinct()
+    near = resolve.within_edits(own.toDF("left_brand"), own.toDF("right_brand"), "left_brand", "right_brand")
+    return near.where("left_brand < right_brand")
 
 
 @query("m17_sequence_ratio")
 def sequence_ratio(spark, d):
-    """The sequence ratio of typed references and the names they share a rare word with; SQL has no counterpart."""
-    from redolent.functions.text import fold
-    from redolent.operators.resolve import sequence_ratio as ratio
+    """The sequence ratio of typed references and all labels they share a word with, where it is 0.6 or more; SQL has no counterpart.
 
+    Distinct references meet distinct labels; a pair whose letters alone can't give 0.6 isn't aligned."""
     refs = cases(spark, d).where("expected_resolved_reference IS NOT NULL").select("id", fold(F.col("expected_resolved_reference")).alias("typed"))
-    words = refs.select("id", "typed", F.explode(F.split("typed", " ")).alias("w")).where(F.length("w") > 4)
+    words = refs.select("typed").distinct().select("typed", F.explode(F.array_distinct(F.split("typed", " "))).alias("w")).where("w <> ''")
     names = table(spark, d, "label_list").select("label_id", fold(F.col("label")).alias("label"))
-    listed = names.select("label_id", "label", F.explode(F.split("label", " ")).alias("w")).where(F.length("w") > 4)
-    rare = listed.groupBy("w").agg(F.count("*").alias("n")).where("n <= 20").select("w")
-    pairs = words.join(listed.join(rare, "w"), "w").select("id", "typed", "label_id", "label").distinct()
-    return pairs.select("id", "label_id", six(ratio(F.col("typed"), F.col("label")), "ratio"))
+    listed = names.select("label_id", "label", F.explode(F.array_distinct(F.split("label", " "))).alias("w"))
+    pairs = words.join(listed, "w").select("typed", "label_id", "label").distinct()
+    scored = pairs.withColumn("ratio", resolve.ratio_if_close(F.col("typed"), F.col("label"))).where("ratio >= 0.6")
+    return refs.join(scored, "typed").select("id", "label_id", six(F.col("ratio"), "ratio"))
 
 
 @query("m22_compare", f"WITH {PLAIN}, {EDGES} SELECT source_id, target_id, CASE WHEN a.rating IS NULL OR b.rating IS NULL THEN 'missing' WHEN a.rating > b.rating THEN 'higher' WHEN a.rating < b.rating THEN 'lower' ELSE 'tie' END AS rating FROM edges JOIN items a ON a.perfume_id = source_id JOIN items b ON b.perfume_id = target_id")
