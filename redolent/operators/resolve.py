@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redolent.operators.relational import dominant
 from redolent.session import materialize
 
 #: Concentration spellings (folded) and what they stand for.
 CONCENTRATIONS = ((r"\be ?d ?p\b|\bepd\b", "eau de parfum"), (r"\be ?d ?t\b|\betd\b", "eau de toilette"), (r"\be ?d ?c\b", "eau de cologne"), (r"\bparfume\b", "parfum"))
 #: Words that tell editions apart, and words that say nothing about identity.
 EDITIONS = "edp edt edc extrait parfum cologne absolu absolute elixir extreme fraiche intense limited edition oil sport spray".split()
-#: The least sequence ratio at which a name answers a hint.
-LEAST_RATIO = 0.6
+#: The least sequence ratio at which a name answers a hint, and the least resolution score.
+LEAST_RATIO, LEAST_SCORE = 0.6, 0.6
+#: Short names of houses that their initials don't give.
+CURATED = {"armani": "giorgio armani", "cdg": "comme des garcons", "ch": "carolina herrera", "d g": "dolce gabbana", "dg": "dolce gabbana", "jpg": "jean paul gaultier", "lv": "louis vuitton", "mfk": "maison francis kurkdjian", "pdm": "parfums de marly", "tf": "tom ford", "ysl": "yves saint laurent"}
 CONNECTORS = "a by de des du for le la of pour the".split()
 
 
@@ -51,17 +54,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio_if_close(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The sequence ratio where it can be LEAST_RATIO or more by the letters of both texts, else null."""
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The sequence ratio where it can be `least` or more by the letters of both texts, else null; null for empty texts."""
     letters = {x: Counter(x) for x in {*a, *b}}
 
-    def ratio(x: str, y: str) -> float | None:
+    def ratio(x: str, y: str, low: float) -> float | None:
+        if not x or not y or 2.0 * min(len(x), len(y)) < low * (len(x) + len(y)):
+            return None
         p, q = letters[x], letters[y]
-        if 2.0 * sum(min(n, q[c]) for c, n in p.items() if c in q) / (len(x) + len(y)) < LEAST_RATIO:
+        if 2.0 * sum(min(n, q[c]) for c, n in p.items() if c in q) / (len(x) + len(y)) < low:
             return None
         return difflib.SequenceMatcher(None, x, y).ratio()
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([ratio(x, y, low) for x, y, low in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def ratio_if_close(a: Column, b: Column, least: float = LEAST_RATIO) -> Column:
+    """The sequence ratio where it can be `least` or more by the letters of both texts, else null."""
+    return ratio_from(a, b, F.lit(least))
 
 
 def deletions(text: Column, most: int = 2) -> Column:
@@ -92,13 +102,20 @@ def brand_totals(items: DataFrame) -> DataFrame:
     return spelled.groupBy("brand_norm").agg(F.max_by("brand", F.struct("n", "brand")).alias("brand"), F.sum("n").alias("total"))
 
 
-def alias_index(items: DataFrame) -> DataFrame:
-    """(alias, brand_norm): folded names and initials of brands; an alias of several brands is none."""
+def alias_index(items: DataFrame, curated: dict[str, str] | None = None) -> DataFrame:
+    """(alias, brand_norm): folded names and initials of brands; an alias of several brands is none.
+
+    curated: aliases that hold whatever the catalog's initials say, as far as their brand is in the catalog."""
     words = F.split("brand_norm", " ")
     initials = F.transform(words, lambda w: F.substring(w, 1, 1))
     short = F.when((F.size(words) >= 2) & (F.size(words) <= 5), F.array(F.col("brand_norm"), F.array_join(initials, ""), F.array_join(initials, " "))).otherwise(F.array(F.col("brand_norm")))
-    pairs = brand_totals(items).select("brand_norm", F.explode(short).alias("alias")).where("alias <> ''")
-    return pairs.groupBy("alias").agg(F.min("brand_norm").alias("brand_norm"), F.count_distinct("brand_norm").alias("_n")).where("_n = 1").drop("_n")
+    totals = brand_totals(items)
+    pairs = totals.select("brand_norm", F.explode(short).alias("alias")).where("alias <> ''")
+    own = pairs.groupBy("alias").agg(F.min("brand_norm").alias("brand_norm"), F.count_distinct("brand_norm").alias("_n")).where("_n = 1").drop("_n")
+    if not curated:
+        return own
+    fixed = items.sparkSession.createDataFrame(sorted(curated.items()), "alias string, brand_norm string").join(totals.select("brand_norm"), "brand_norm", "left_semi").select("alias", "brand_norm")
+    return own.join(fixed, "alias", "left_anti").unionByName(fixed)
 
 
 def edge_brand(hints: DataFrame, aliases: DataFrame, key: str = "hint_id", text: str = "hint_norm", width: int = 5) -> DataFrame:
@@ -117,56 +134,72 @@ def best_item(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def _closest(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, salts: int = 8) -> DataFrame:
-    """(hint_id, perfume_id, stage): the item with the best ratio for each hint, of its house or of those that share a word.
+def scored_pairs(pairs: DataFrame, hint: str, brand_hint: str) -> DataFrame:
+    """pairs (hint, brand hint, name_norm, brand_norm, popularity, ...) with their resolution score, those that can't reach LEAST_SCORE left out.
 
-    Distinct hints meet distinct names, of which only the most popular item can win; common keys are dealt over salts.
-    """
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) > 1))).alias("w")
-    by = [F.col(house).alias("house")] if house else []
-    asked = rest.select("name_hint", *by).distinct()
-    names = cols.where("name_norm IS NOT NULL").groupBy("name_norm", *([F.col("brand_norm").alias("house")] if house else [])).agg(F.max(F.struct(F.col("popularity").alias("popularity"), (-F.col("perfume_id")).alias("minus"))).alias("item"))
+    Where cores share a word it takes cores half alike; where they share none, a ratio of 0.72, as all below is penalised."""
+    h_core, n_core = signature(F.col(hint))[0], signature(F.col("name_norm"))[0]
+    both, own = F.size(F.array_intersect(h_core, n_core)), F.greatest(F.size(F.array_distinct(h_core)), F.lit(1))
+    marked = pairs.withColumns({"_h": F.array_join(h_core, " "), "_n": F.array_join(n_core, " "), "_both": both, "_own": own})
+    covered = F.col("_both") >= F.col("_own") * 0.5
+    least = F.when(covered, F.lit(2.0)).when(F.col("_both") > 0, F.lit(0.5)).otherwise(F.lit(0.72))  # 2: the ratio isn't asked for
+    bare = (F.col("_h") == "") | (F.col("_n") == "")
+    marked = marked.withColumn("_ratio", ratio_from(F.col("_h"), F.col("_n"), least)).where(covered | bare | (F.col("_ratio") >= least))
+    return marked.select(*pairs.columns).withColumn("score", resolution_score(hint, brand_hint))
+
+
+def _ranked(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, salts: int = 8) -> DataFrame:
+    """(hint_id, perfume_id, stage): the item with the best resolution score of each hint, LEAST_SCORE at least, among the items
+    of its house or, without one, those that share a word of two letters or more with it in name or brand.
+
+    Distinct hints meet distinct pairs of name and brand, of which only the most popular item can win; common keys are dealt
+    over salts."""
+    words = lambda *c: F.explode(F.array_distinct(F.filter(F.split(F.concat_ws(" ", *c), " "), lambda x: F.length(x) > 1))).alias("w")
+    own = cols.where("name_norm IS NOT NULL").groupBy("name_norm", "brand_norm").agg(F.max(F.struct("popularity", (-F.col("perfume_id")).alias("minus"))).alias("item"))
+    own = own.select("name_norm", "brand_norm", F.col("item.popularity").alias("popularity"), F.col("item.minus").alias("minus"))
+    asked = rest.select("name_hint", F.col(house).alias("house") if house else F.lit(None).cast("string").alias("house")).distinct()
     left = asked.select("*", F.col("house").alias("w")) if house else asked.select("*", words("name_hint"))
-    right = names.select("name_norm", "item", F.col("house").alias("w") if house else words("name_norm")).withColumn("salt", F.pmod(F.xxhash64("name_norm"), F.lit(salts)))
-    pairs = left.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).join(right, ["w", "salt"])
-    # no ratio is above that of the lengths
-    a, b = F.length("name_hint"), F.length("name_norm")
-    pairs = pairs.where(2.0 * F.least(a, b) / (a + b) >= LEAST_RATIO).select("name_hint", *by, "name_norm", "item").distinct()
-    scored = pairs.withColumn("ratio", ratio_if_close("name_hint", "name_norm")).where(F.col("ratio") >= LEAST_RATIO)
-    best = scored.groupBy("name_hint", *by).agg(F.max(F.struct("ratio", "item")).alias("b"))
-    return rest.join(best, ["name_hint", *(["house"] if house else [])]).select("hint_id", (-F.col("b.item.minus")).alias("perfume_id"), F.lit(stage).alias("stage"))
+    right = own.select("*", F.col("brand_norm").alias("w") if house else words("name_norm", "brand_norm")).withColumn("salt", F.pmod(F.xxhash64("name_norm"), F.lit(salts)))
+    pairs = left.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).join(right, ["w", "salt"]).drop("w", "salt").distinct()
+    scored = scored_pairs(pairs, "name_hint", "house").where(F.col("score") >= LEAST_SCORE)
+    best = scored.groupBy("name_hint", "house").agg(F.max(F.struct("score", "popularity", "minus")).alias("b"))
+    same = rest["name_hint"] == best["name_hint"]
+    found = rest.join(best, same & (rest[house] == best["house"]) if house else same)
+    return found.select("hint_id", (-F.col("b.minus")).alias("perfume_id"), F.lit(stage).alias("stage"))
 
 
 def resolve(hints: DataFrame, items: DataFrame, least: int = 500, fuzzy: bool = False) -> DataFrame:
     """(hint_id, perfume_id, stage): hints (hint_id, hint_norm, folded) to items.
 
     Stages: exact name or label; name and brand; a dominant member of the family of names that begin with the hint; with
-    fuzzy, the best sequence ratio (0.6 at least) among all items of the hint's brand or, if it names no known one, among all
-    items that share a word of two letters or more. Each stage takes what is still open.
+    fuzzy, the best resolution score (0.6 at least) among all items of the hint's brand or, if it names no known one, among all
+    items that share a word of two letters or more with it. Each stage takes what is still open and is written once, as the
+    later ones read it. Hints of a known brand by a curated alias are of that brand.
     """
     cols = items.select("perfume_id", "name_norm", "brand_norm", "label_norm", "popularity", "rating")
     name, brand = split_hint(F.col("hint_norm"))
     open_hints = hints.select("hint_id", "hint_norm", name.alias("name_hint"), brand.alias("brand_hint"))
     by_name = open_hints.join(cols, F.col("hint_norm") == F.col("name_norm")).select("hint_id", *cols.columns)
     by_label = open_hints.withColumn("_l", F.concat_ws(" ", "name_hint", "brand_hint")).join(cols, F.col("_l") == F.col("label_norm")).select("hint_id", *cols.columns)
-    exact = best_item(by_name.unionByName(by_label), "hint_id").select("hint_id", "perfume_id", F.lit("exact").alias("stage"))
+    exact = materialize(best_item(by_name.unionByName(by_label), "hint_id").select("hint_id", "perfume_id", F.lit("exact").alias("stage")), "exact")
     rest = open_hints.join(exact, "hint_id", "left_anti")
     branded = rest.where("brand_hint IS NOT NULL").join(cols, (F.col("name_hint") == F.col("name_norm")) & F.startswith(F.col("brand_norm"), F.col("brand_hint")))
     second = best_item(branded.select("hint_id", *cols.columns), "hint_id").select("hint_id", "perfume_id", F.lit("branded").alias("stage"))
+    second = materialize(second, "branded")
     rest = rest.join(second, "hint_id", "left_anti")
     # a family is found by equality: every item offers its name's leading words
     heads = cols.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name_norm", " "))), lambda n: F.array_join(F.slice(F.split("name_norm", " "), 1, n), " "))).alias("head")).where("head <> name_norm")
-    w = Window.partitionBy("hint_id").orderBy(F.col("popularity").desc(), F.col("rating").desc_nulls_last(), F.col("perfume_id"))
-    family = rest.join(heads, F.col("name_hint") == F.col("head")).withColumns({"_rn": F.row_number().over(w), "_next": F.lead("popularity").over(w)}).where("_rn = 1")
-    clear = (F.col("popularity") >= least) & (F.col("popularity") >= 2 * F.coalesce("_next", F.lit(0)))
+    family = dominant(rest.join(heads, F.col("name_hint") == F.col("head")).select("hint_id", *cols.columns), ["hint_id"], least)
+    clear = F.col("outcome") == "dominant"
     third = family.select("hint_id", F.when(clear, F.col("perfume_id")).alias("perfume_id"), F.when(clear, F.lit("family")).otherwise(F.lit("ambiguous")).alias("stage"))
+    third = materialize(third, "family") if fuzzy else third
     out = exact.unionByName(second).unionByName(third)
     if fuzzy:
         rest = rest.join(third, "hint_id", "left_anti")
-        known = alias_index(items).select(F.col("alias").alias("brand_hint"), F.col("brand_norm").alias("house"))
+        known = alias_index(items, CURATED).select(F.col("alias").alias("brand_hint"), F.col("brand_norm").alias("house"))
         rest = materialize(rest.select("hint_id", "name_hint", "brand_hint").join(known, "brand_hint", "left"), "open")
-        out = out.unionByName(_closest(rest.where("house IS NOT NULL"), cols, "house", "brand"))
-        out = out.unionByName(_closest(rest.where("house IS NULL"), cols, None, "fuzzy"))
+        out = out.unionByName(_ranked(rest.where("house IS NOT NULL"), cols, "house", "brand"))
+        out = out.unionByName(_ranked(rest.where("house IS NULL"), cols, None, "fuzzy"))
     return hints.select("hint_id").join(out, "hint_id", "left").select("hint_id", "perfume_id", F.coalesce("stage", F.lit("unresolved")).alias("stage"))
 
 

@@ -78,7 +78,8 @@ def soft_score(spark, d):
 
 @query("m15_resolution_score")
 def resolution_score(spark, d):
-    """References scored against all items that share a word of their name or have their brand (sequence ratios have no SQL counterpart).
+    """The best item of each reference by score, 0.6 at least, among all that share a word of their name or have their brand
+    (sequence ratios have no SQL counterpart).
 
     Distinct hints meet distinct pairs of name and brand, of which only the most popular item can win."""
     refs = cases(spark, d).where("trim(expected_resolved_reference) <> ''").select("id", fold(F.col("expected_resolved_reference")).alias("t")).where("t <> ''")
@@ -88,7 +89,7 @@ def resolution_score(spark, d):
     own = own.select("name_norm", "brand_norm", "p.popularity", (-F.col("p.minus")).alias("perfume_id"))
     keys = lambda words, house: F.explode(F.array_distinct(F.concat(F.split(words, " "), F.array_compact(F.array(F.concat(F.lit("@"), house))))))
     pairs = hints.select("*", keys("hint", F.col("brand_hint")).alias("w")).join(own.select("*", keys("name_norm", F.col("brand_norm")).alias("w")), "w").where("w <> ''").drop("w").distinct()
-    scored = pairs.withColumn("score", F.round(resolve.resolution_score("hint", "brand_hint"), 6))
+    scored = resolve.scored_pairs(pairs, "hint", "brand_hint").withColumn("score", F.round("score", 6)).where(F.col("score") >= resolve.LEAST_SCORE)
     best = scored.groupBy("t").agg(F.max(F.struct("score", "popularity", (-F.col("perfume_id")).alias("minus"))).alias("b"))
     return refs.join(best, "t").select("id", (-F.col("b.minus")).alias("perfume_id"), "b.score")
 

@@ -177,11 +177,11 @@ def levenshtein(spark, d):
 
 @query("m17_sequence_ratio")
 def sequence_ratio(spark, d):
-    """The sequence ratio of typed references and all labels they share a word with, where it is 0.6 or more; SQL has no counterpart.
+    """The sequence ratio of typed references and all labels they share a word with (but 'by', which every label has), where it is 0.6 or more; SQL has no counterpart.
 
     Distinct references meet distinct labels; a pair whose letters alone can't give 0.6 isn't aligned."""
     refs = cases(spark, d).where("expected_resolved_reference IS NOT NULL").select("id", fold(F.col("expected_resolved_reference")).alias("typed"))
-    words = refs.select("typed").distinct().select("typed", F.explode(F.array_distinct(F.split("typed", " "))).alias("w")).where("w <> ''")
+    words = refs.select("typed").distinct().select("typed", F.explode(F.array_distinct(F.split("typed", " "))).alias("w")).where("w NOT IN ('', 'by')")
     names = table(spark, d, "label_list").select("label_id", fold(F.col("label")).alias("label"))
     listed = names.select("label_id", "label", F.explode(F.array_distinct(F.split("label", " "))).alias("w"))
     pairs = words.join(listed, "w").select("typed", "label_id", "label").distinct()

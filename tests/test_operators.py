@@ -215,3 +215,43 @@ def test_fold_agrees_with_the_exact_fold(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
     for r in df.select("x", text.fold(F.col("x")).alias("f"), text.folded_items(F.col("x")).alias("g")).collect():
         assert r.f == text.fold_text(r.x) and list(r.g) == text.fold_items(r.x), r.x
+
+
+def test_within_edits_finds_every_pair(spark):
+    import itertools
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(40)
+    texts = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {(r.a, r.b): r.distance for r in resolve.within_edits(df.toDF("a"), df.toDF("b"), "a", "b").collect()}
+    assert got == {(a, b): d for a, b in itertools.product(texts, repeat=2) if (d := distance(a, b)) <= 2}
+
+
+@pytest.mark.parametrize(("hint", "item", "stage"), [("club de nuit inense man by armaf", 2, "brand"), ("club de nuit blng", 3, "fuzzy"), ("adventus by creed", 1, "brand"), ("something else entirely", None, "unresolved"), ("zzz by creed", None, "unresolved")])
+def test_resolution_score_ranks_what_the_stages_leave(spark, hint, item, stage):
+    r = resolve.resolve(spark.createDataFrame([("h", hint)], "hint_id string, hint_norm string"), catalog_of(spark), fuzzy=True).first()
+    assert (r.perfume_id, r.stage) == (item, stage)
+
+
+def test_curated_aliases_win(spark):
+    own = spark.createDataFrame([("tom ford", "Tom Ford", 5), ("two foxes", "Two Foxes", 9), ("creed", "Creed", 1)], "brand_norm string, brand string, popularity long")
+    plain = {r.alias: r.brand_norm for r in resolve.alias_index(own).collect()}
+    fixed = {r.alias: r.brand_norm for r in resolve.alias_index(own, resolve.CURATED).collect()}
+    assert "tf" not in plain and fixed["tf"] == "tom ford" and "ysl" not in fixed and fixed["creed"] == "creed"
+
+
+def test_carry_forward_and_repeats(spark):
+    rows = [(1, 1, [5, 6], True), (1, 2, [6, 7], False), (1, 3, None, False), (1, 4, [8, 8], False), (1, 5, [5], True), (2, 1, [], True), (2, 2, [1], False)]
+    df = spark.createDataFrame(rows, "s int, t int, ids array<int>, is_new boolean")
+    got = {(r.s, r.t): (r.before, r.again, r.fresh) for r in relational.carry_forward(df, "s", ["t"], "ids", "is_new").collect()}
+    assert got == {(1, 1): (0, 0, None), (1, 2): (2, 1, False), (1, 3): (3, 0, None), (1, 4): (3, 0, True), (1, 5): (0, 0, None), (2, 1): (0, 0, None), (2, 2): (0, 0, None)}
