@@ -57,6 +57,34 @@ def listed_items(answer: Column) -> Column:
     return F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^(.*?)(?:,|:| - |$)", 1)))
 
 
+#: Claims that no record supports, names of internal categories, and phrases that generated answers wear out.
+UNSUPPORTED_CLAIMS = (r"\$\d+", r"(?i)\bprice\b", r"(?i)\bbudget\b", r"(?i)\bguaranteed compliments?\b", r"(?i)\bcompliment beast\b")
+INTERNAL_LABELS = (r"\bwinter_evening\b", r"\bdate_night\b", r"\bgym_after\b", r"\bsummer_day\b")
+WORN_PHRASES = (r"(?i)which makes it a grounded fit for the request", r"(?i)Based on your preferences, I would prioritize perfumes that fit the .* direction")
+#: The parts of an answer: the name of a numbered 'name by brand' line, such a line, and the pick.
+NAME_LINE, ITEM_LINE, PICK_LINE = r"(?m)^[ \t]*\d+[.)][ \t]+(.+?) by .+$", r"(?m)^[ \t]*\d+[.)][ \t]+(.+? by .+)$", r"(?m)^[ \t]*Best pick:[ \t]+(.+? by .+)$"
+
+
+def answer_rules(level: str, question: Column, answer: Column, cards: Column) -> dict[str, Column]:
+    """The rules of answers of a level (L3, L4, L5) by name: true where one is broken.
+
+    cards: the lower-case names of the cards in the question (empty without cards). L3 answers are numbered lines of 'name by
+    brand' and nothing else; L4 and L5 answers have such lines, a pick among them and a reason, claim nothing the records don't
+    hold, and, for L5, answer a question with a user profile."""
+    found = lambda pattern: F.transform(F.regexp_extract_all(answer, F.lit(pattern), 1), lambda x: F.lower(F.trim(x)))
+    has = lambda patterns: F.exists(F.array(*[F.regexp(answer, F.lit(p)) for p in patterns]), lambda x: x)
+    names, items = found(NAME_LINE), found(ITEM_LINE)
+    lines = F.size(F.filter(F.split(answer, "\n"), lambda x: F.trim(x) != ""))
+    pick = F.lower(F.trim(F.regexp_extract(answer, PICK_LINE, 1)))
+    outside = (F.size(cards) > 0) & F.exists(names, lambda n: ~F.array_contains(cards, n))
+    if level == "L3":
+        return {"list_format": (F.size(names) == 0) | (F.size(names) != lines), "rag_subset": outside}
+    rules = {"format": (F.size(items) == 0) | ~F.contains(answer, F.lit("Why:")), "rag_subset": outside, "best_pick": (pick == "") | ~F.array_contains(items, pick), "unsupported_claim": has(UNSUPPORTED_CLAIMS)}
+    if level == "L4":
+        return rules | {"internal_label": has(INTERNAL_LABELS), "repetitive_phrase": has(WORN_PHRASES)}
+    return rules | {"profile_block": ~F.contains(question, F.lit("[USER PROFILE]")) | ~F.contains(question, F.lit("[/USER PROFILE]"))}
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations) over all rows in one pass: each rule is a column, nulls are no violation."""
     one = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])

@@ -141,6 +141,55 @@ def context_subset(spark, d):
     return own.select("sample_id", F.size(F.filter("names", lambda n: F.contains(F.col("a"), n))).alias("mentioned"), F.size("names").alias("given"))
 
 
+def _found(pattern: str) -> str:
+    return f"[lower(trim(x)) for x in regexp_extract_all(answer, '{pattern}', 1)]"
+
+
+def _has(patterns: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"regexp_matches(answer, '{p}')" for p in patterns) + ")"
+
+
+_OUTSIDE = "len(cards) > 0 AND len([n for n in names if NOT list_contains(cards, n)]) > 0"
+_PICKED = "(pick = '' OR NOT list_contains(items, pick))"
+_RULES = {
+    "L3": {"list_format": "(len(names) = 0 OR len(names) <> len([x for x in string_split(answer, chr(10)) if trim(x) <> '']))", "rag_subset": _OUTSIDE},
+    "L4": {"format": "(len(items) = 0 OR NOT contains(answer, 'Why:'))", "rag_subset": _OUTSIDE, "best_pick": _PICKED, "unsupported_claim": _has(V.UNSUPPORTED_CLAIMS), "internal_label": _has(V.INTERNAL_LABELS), "repetitive_phrase": _has(V.WORN_PHRASES)},
+    "L5": {"format": "(len(items) = 0 OR NOT contains(answer, 'Why:'))", "rag_subset": _OUTSIDE, "best_pick": _PICKED, "unsupported_claim": _has(V.UNSUPPORTED_CLAIMS), "profile_block": "(NOT contains(question, '[USER PROFILE]') OR NOT contains(question, '[/USER PROFILE]'))"},
+}
+
+
+def _rule_sql(level: str) -> str:
+    card = "lower(trim(regexp_extract(x, '(?i)(?:^|\\|)\\s*name\\s*:\\s*([^|]*)', 1)))"
+    cards = f"CASE WHEN question ILIKE '[PERFUMES]%' THEN [{card} for x in string_split({CARDS}, chr(10)) if trim(x) <> ''] ELSE [] END"
+    own = f"r AS (SELECT question, answer, {_found(V.NAME_LINE)} AS names, {_found(V.ITEM_LINE)} AS items, lower(trim(regexp_extract(answer, '{V.PICK_LINE}', 1))) AS pick, {cards} AS cards FROM pairs WHERE level = '{level}' AND question IS NOT NULL AND answer IS NOT NULL)"
+    return f"WITH {PAIRS}, {own} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {c}) AS violations FROM r" for k, c in _RULES[level].items())
+
+
+def _level_rules(spark, d, level: str):
+    own = pairs(spark, d).where(F.col("level") == level).where("question IS NOT NULL AND answer IS NOT NULL")
+    cards = F.transform(C.context_cards(F.col("question")), lambda x: F.lower(C.card_field(x, "name")))
+    own = own.select("question", "answer", F.when(F.expr("question ILIKE '[PERFUMES]%'"), cards).otherwise(F.array().cast("array<string>")).alias("cards"))
+    return V.violations(own, V.answer_rules(level, F.col("question"), F.col("answer"), F.col("cards")))
+
+
+@query("r04_l3_rules", _rule_sql("L3"))
+def l3_rules(spark, d):
+    """How many answers of level 3 break each of its rules."""
+    return _level_rules(spark, d, "L3")
+
+
+@query("r05_l4_rules", _rule_sql("L4"))
+def l4_rules(spark, d):
+    """How many answers of level 4 break each of its rules."""
+    return _level_rules(spark, d, "L4")
+
+
+@query("r06_l5_rules", _rule_sql("L5"))
+def l5_rules(spark, d):
+    """How many answers of level 5 break each of its rules."""
+    return _level_rules(spark, d, "L5")
+
+
 @query("r12_marker_language", f"WITH {PAIRS}, t AS (SELECT sample_id, lower(question) AS q, regexp_split_to_array(lower(question), '[^a-zçğıöşüâîû'']+') AS w FROM pairs WHERE question IS NOT NULL) SELECT sample_id, CASE WHEN len([x for x in w if list_contains(string_split('{' '.join(V.TR_MARKERS)}', ' '), x)]) + length(regexp_replace(q, '[^çğış]', '', 'g')) > len([x for x in w if list_contains(string_split('{' '.join(V.EN_MARKERS)}', ' '), x)]) THEN 'tr' ELSE 'en' END AS lang FROM t")
 def marker_language(spark, d):
     return pairs(spark, d).where("question IS NOT NULL").select("sample_id", V.marker_language(F.col("question")).alias("lang"))

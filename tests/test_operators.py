@@ -255,3 +255,24 @@ def test_carry_forward_and_repeats(spark):
     df = spark.createDataFrame(rows, "s int, t int, ids array<int>, is_new boolean")
     got = {(r.s, r.t): (r.before, r.again, r.fresh) for r in relational.carry_forward(df, "s", ["t"], "ids", "is_new").collect()}
     assert got == {(1, 1): (0, 0, None), (1, 2): (2, 1, False), (1, 3): (3, 0, None), (1, 4): (3, 0, True), (1, 5): (0, 0, None), (2, 1): (0, 0, None), (2, 2): (0, 0, None)}
+
+
+def test_answer_rules_of_each_level(spark):
+    profile = "[USER PROFILE]\nx\n[/USER PROFILE]\n\nwhat now?"
+    good = "1. Aventus by Creed\n2. Bling by Armaf\nBest pick: Aventus by Creed\nWhy: it is fresh."
+    rows = [
+        ("q", "1. Aventus by Creed\n2. Bling by Armaf", ["aventus", "bling"]),
+        ("q", "Here you are:\n1. Aventus by Creed", []),
+        ("q", "1. Other by Creed", ["aventus"]),
+        (profile, good, ["aventus", "bling"]),
+        ("q", good.replace("Best pick: Aventus", "Best pick: Other") + " The price is $30, a compliment beast for date_night.", []),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, a string, cards array<string>")
+    for level, want in (
+        ("L3", {0: set(), 1: {"list_format"}, 2: {"rag_subset"}}),
+        ("L4", {0: {"format", "best_pick"}, 3: set(), 4: {"best_pick", "unsupported_claim", "internal_label"}}),
+        ("L5", {3: set(), 4: {"best_pick", "unsupported_claim", "profile_block"}}),
+    ):
+        rules = conversations.answer_rules(level, F.col("q"), F.col("a"), F.col("cards"))
+        got = {r.i: set(r.f) for r in df.select("i", conversations.failures(rules).alias("f")).collect()}
+        assert {i: got[i] for i in want} == want, level
