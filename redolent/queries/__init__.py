@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redolent.queries import conversations, corpus, generation, lookups, search, sources  # noqa: F401
+from redolent.queries import conversations, corpus, generation, lookups, makers, search, sources  # noqa: F401
 from redolent.queries.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
