@@ -134,18 +134,27 @@ def best_item(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def with_core(df: DataFrame, name: str, core: str) -> DataFrame:
+    """A table of distinct texts with the core words of each, so that a join of them needn't find them again for every pair."""
+    return df.withColumn(core, F.array_distinct(signature(F.col(name))[0]))
+
+
 def scored_pairs(pairs: DataFrame, hint: str, brand_hint: str) -> DataFrame:
-    """pairs (hint, brand hint, name_norm, brand_norm, popularity, ...) with their resolution score, those that can't reach LEAST_SCORE left out.
+    """pairs (hint, brand hint, _h, name_norm, brand_norm, popularity, _n, ...) with their resolution score; those that can't
+    reach LEAST_SCORE are left out. _h, _n: the core words of hint and name.
 
     Where cores share a word it takes cores half alike; where they share none, a ratio of 0.72, as all below is penalised."""
-    h_core, n_core = signature(F.col(hint))[0], signature(F.col("name_norm"))[0]
-    both, own = F.size(F.array_intersect(h_core, n_core)), F.greatest(F.size(F.array_distinct(h_core)), F.lit(1))
-    marked = pairs.withColumns({"_h": F.array_join(h_core, " "), "_n": F.array_join(n_core, " "), "_both": both, "_own": own})
-    covered = F.col("_both") >= F.col("_own") * 0.5
-    least = F.when(covered, F.lit(2.0)).when(F.col("_both") > 0, F.lit(0.5)).otherwise(F.lit(0.72))  # 2: the ratio isn't asked for
-    bare = (F.col("_h") == "") | (F.col("_n") == "")
-    marked = marked.withColumn("_ratio", ratio_from(F.col("_h"), F.col("_n"), least)).where(covered | bare | (F.col("_ratio") >= least))
-    return marked.select(*pairs.columns).withColumn("score", resolution_score(hint, brand_hint))
+    both, own = F.size(F.array_intersect("_h", "_n")), F.size("_h")
+    marked = pairs.withColumns({"_both": both, "_covered": both >= F.greatest(own, F.lit(1)) * 0.5})
+    least = F.when(F.col("_covered"), F.lit(2.0)).when(F.col("_both") > 0, F.lit(0.5)).otherwise(F.lit(0.72))  # 2: the ratio isn't asked for
+    # no ratio is above that of the lengths
+    a, b = F.length(F.array_join("_h", " ")), F.length(F.array_join("_n", " "))
+    bare = (own == 0) | (F.size("_n") == 0)
+    marked = marked.withColumn("_least", least).where(F.col("_covered") | bare | (2.0 * F.least(a, b) >= F.col("_least") * (a + b)))
+    sure = marked.where(F.col("_covered") | bare)
+    asked = marked.where(~F.col("_covered") & ~bare).withColumn("_ratio", ratio_from(F.array_join("_h", " "), F.array_join("_n", " "), F.col("_least")))
+    near = sure.select(*pairs.columns).unionByName(asked.where(F.col("_ratio") >= F.col("_least")).select(*pairs.columns))
+    return near.withColumn("score", resolution_score(hint, brand_hint)).drop("_h", "_n")
 
 
 def _ranked(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, salts: int = 8) -> DataFrame:
@@ -158,9 +167,11 @@ def _ranked(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, sal
     own = cols.where("name_norm IS NOT NULL").groupBy("name_norm", "brand_norm").agg(F.max(F.struct("popularity", (-F.col("perfume_id")).alias("minus"))).alias("item"))
     own = own.select("name_norm", "brand_norm", F.col("item.popularity").alias("popularity"), F.col("item.minus").alias("minus"))
     asked = rest.select("name_hint", F.col(house).alias("house") if house else F.lit(None).cast("string").alias("house")).distinct()
+    asked, own = materialize(with_core(asked, "name_hint", "_h"), "asked"), materialize(with_core(own, "name_norm", "_n"), "names")
     left = asked.select("*", F.col("house").alias("w")) if house else asked.select("*", words("name_hint"))
     right = own.select("*", F.col("brand_norm").alias("w") if house else words("name_norm", "brand_norm")).withColumn("salt", F.pmod(F.xxhash64("name_norm"), F.lit(salts)))
-    pairs = left.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).join(right, ["w", "salt"]).drop("w", "salt").distinct()
+    pairs = left.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).join(right, ["w", "salt"]).drop("w", "salt")
+    pairs = materialize(pairs if house else pairs.distinct(), "pairs")
     scored = scored_pairs(pairs, "name_hint", "house").where(F.col("score") >= LEAST_SCORE)
     best = scored.groupBy("name_hint", "house").agg(F.max(F.struct("score", "popularity", "minus")).alias("b"))
     same = rest["name_hint"] == best["name_hint"]
