@@ -568,3 +568,12 @@ def test_links_and_members_say_the_same_for_classes_of_any_size(spark):
     assert [tuple(r) for r in links.collect()] == [(0, 200, 100, 2)]
     got = {r.id: (r.cls, r.copies, r.links) for r in setjoin.memberships(own, links).collect()}
     assert got[7] == (0, 100, 101) and got[201] == (200, 2, 101) and 300 not in got and len(got) == 102
+
+
+def test_defects_without_labelled_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    codes = spark.createDataFrame(LANGUAGES, "lang string, lang3 string, english_name string, own_name string")
+    model = language.fit(docs, codes)
+    rows = [(1, "user", QUESTION, "train"), (1, "model", "I must refuse to pick anything for you.", "train"), (2, "user", QUESTION, "train"), (2, "model", "Il profumo è secco e morbido, con molto muschio e poca rosa.", "train")]
+    got = {r.sample_id: r.defect for r in qa_defects.defective_pairs(messages(spark, rows), model).collect()}
+    assert got == {1: "refusal"}  # a model without text tells no languages apart
