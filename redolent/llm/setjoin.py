@@ -7,8 +7,8 @@ home only if d(x, q) <= d(x, p) + 2t. The same inequality on set differences is
 `more` and lack at most `less` members, so the bound is taken over the distances those leave possible (reach()). A pair
 thus meets in exactly one cell: the lower of its two homes. In a cell the join is exact: two sets above the threshold have
 all but a few members in common, so they share three among the few rarest of each; sets are matched on such triples and
-every match is verified. Where many sets share a triple it is lengthened by two members again and again: partners that share a
-key of w members among their rarest also share one of w + 2 that holds it, among two members more.
+every match is verified. Where many sets share a triple it is lengthened by two members: partners that share a key of three
+members among their rarest also share one of five that holds it, among two members more.
 
 Equal sets are one class and are joined once. Cells that outgrow a task are split by the hash of keys of five members, which
 loses nothing, as partners share such a key, and which deals the sets of a hot triple over many tasks.
@@ -157,14 +157,15 @@ def _match(ids: np.ndarray, home: np.ndarray, flat: np.ndarray, offsets: np.ndar
 
 
 def _match_keys(ids: np.ndarray, home: np.ndarray, sizes: np.ndarray, sets: np.ndarray, signs: tuple[np.ndarray, np.ndarray], similarity: float, width: int, key: np.ndarray, row: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that share a key and reach the similarity. Keys that more than HOT rows share are lengthened as far as their sets allow."""
+    """Pairs of rows that share a key and reach the similarity. Keys that more than HOT rows share are lengthened to WIDE members, once:
+    a cluster of near copies shares longer keys as well, and its pairs are mostly links."""
     order = np.lexsort((row, key))
     key, row, places = key[order], row[order], places[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.append(starts, len(key)))
     if len(counts) and counts.max() > HOT and similarity >= 0.75 and int(sets.shape[1]) < 63:
         least = np.minimum.reduceat(sizes[row], starts)
-        longer = np.minimum(width + 2, np.ceil(similarity * least - 1e-9).astype(np.int64))
+        longer = np.minimum(max(width, WIDE), np.ceil(similarity * least - 1e-9).astype(np.int64))
         for w in range(width + 1, width + 3):
             hot = np.repeat((counts > HOT) & (longer == w), counts)
             if hot.any():
