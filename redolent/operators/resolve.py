@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,6 +159,129 @@ def scored_pairs(pairs: DataFrame, hint: str, brand_hint: str) -> DataFrame:
     return near.withColumn("score", resolution_score(hint, brand_hint)).drop("_h", "_n")
 
 
+def score_finalists(hints: DataFrame, names: DataFrame, chunks: int, blocks: int) -> DataFrame:
+    """(t, at): for each hint t the names (their ids in `at`) that may have its best resolution score, LEAST_SCORE at least, among
+    all names that share a key with it; ties and all within MARGIN of the best of their block come out.
+
+    hints (t, hint, brand_hint, keys), names (at long, name_norm, brand_norm, popularity, keys). Chunks of hints meet blocks of
+    names. A pair costs a few vector operations on letter counts, which bound its ratios from above; ratios are taken in the
+    order of these bounds until none left can be the best."""
+    from redolent.operators.scoring import popularity_score
+
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.array(*map(F.lit, range(n))))
+
+    def parts(df: DataFrame, text: str) -> DataFrame:
+        core, editions = signature(F.col(text))
+        return df.withColumns({"core": core, "editions": editions})
+
+    left = parts(hints, "hint").select("t", "brand_hint", "keys", "core", "editions", expand_concentrations(F.col("hint")).alias("full"), part("t", chunks).alias("chunk"))
+    right = parts(names, "name_norm").select("at", "brand_norm", popularity_score(F.col("popularity")).alias("known"), "keys", "core", "editions", F.col("name_norm").alias("full"), part("at", blocks).alias("block"))
+    left, right = left.select("*", each(blocks).alias("block")), right.select("*", each(chunks).alias("chunk"))
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(_score_block, "t string, at long")
+
+
+#: Scores this near to each other are told apart by the caller, who rounds them to six places.
+MARGIN = 2e-6
+_LETTERS = 38
+
+
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """(texts x letters) counts of a-z, 0-9, space and all else."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    kind = np.select([(code >= 97) & (code <= 122), (code >= 48) & (code <= 57), code == 32], [code - 97, code - 48 + 26, 36], _LETTERS - 1)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    return np.bincount(row * _LETTERS + kind, minlength=len(texts) * _LETTERS).reshape(-1, _LETTERS).astype(np.int32)
+
+
+def _postings(lists: list[list[str]]) -> dict[str, np.ndarray]:
+    out: dict[str, list[int]] = {}
+    for i, words in enumerate(lists):
+        for w in set(words):
+            out.setdefault(w, []).append(i)
+    return {w: np.array(rows, dtype=np.int64) for w, rows in out.items()}
+
+
+def _score_block(hints: pa.Table, names: pa.Table) -> pa.Table:
+    n = names.num_rows
+    found_t: list[str] = []
+    found_at: list[int] = []
+    if n and hints.num_rows:
+        bits = {e: 1 << i for i, e in enumerate(EDITIONS)}
+        strong = sum(bits[e] for e in ("edp", "edt", "edc", "extrait", "parfum", "cologne"))
+        marks = lambda editions: sum(bits[e] for e in set(editions))
+        at, brands, known = names["at"].to_pylist(), np.array(names["brand_norm"].to_pylist(), dtype=object), names["known"].to_numpy()
+        cores, full = names["core"].to_pylist(), names["full"].to_pylist()
+        joined = [" ".join(c) for c in cores]
+        by_key, by_core = _postings(names["keys"].to_pylist()), _postings(cores)
+        n_size = np.array([len(set(c)) for c in cores], dtype=np.int64)
+        n_marks = np.array([marks(e) for e in names["editions"].to_pylist()], dtype=np.int64)
+        c_len, f_len = np.array([len(x) for x in joined]), np.array([len(x) for x in full])
+        c_count, f_count = _letter_counts(joined), _letter_counts(full)
+        seen, shared = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        for h in hints.to_pylist():
+            h_join, h_core, h_marks = " ".join(h["core"]), set(h["core"]), marks(h["editions"])
+            rows = [by_key[k] for k in h["keys"] if k in by_key]
+            for r in rows:
+                seen[r] = True
+            own = np.flatnonzero(seen)
+            seen[own] = False
+            for w in h_core:
+                shared[by_core.get(w, none)] += 1
+            both = shared[own]
+            for w in h_core:
+                shared[by_core.get(w, none)] = 0
+            m = len(h_core)
+            words = np.maximum(both / np.maximum(m + n_size[own] - both, 1), both / max(m, 1))  # overlap, coverage
+            kept = np.bitwise_count(n_marks[own] & h_marks) / max(h_marks.bit_count(), 1)
+            asked = h_marks != 0
+            h_c, n_c = h_marks & strong, n_marks[own] & strong
+            edition = kept if asked else np.full(len(own), 0.5)
+            fit = 0.5 if h["brand_hint"] is None else (brands[own] == h["brand_hint"]).astype(float)
+            rest = fit * 0.07 + known[own] * 0.03 - (0.06 * (1 - kept) if asked else 0.0) - np.where((h_c != 0) & (n_c != 0) & (n_c & h_c == 0), 0.32, 0.0)
+            strange = (both == 0) & (m > 0) & (n_size[own] > 0)
+
+            def score(ratio, of_full, on, words=words, edition=edition, rest=rest, strange=strange):
+                core = np.maximum(ratio, words[on])
+                return (core * 0.9 + of_full * 0.1) * 0.72 + edition[on] * core * 0.18 + rest[on] - np.where(strange[on] & (ratio < 0.72), 0.38, 0.0)
+
+            def bound(shorter, a, b):
+                return np.where(a + b > 0, 2.0 * shorter / np.maximum(a + b, 1), 1.0)
+
+            every, h_full = np.arange(len(own)), h["full"]
+            least = max(LEAST_SCORE, float(score(np.zeros(len(own)), 0.0, every).max(initial=0.0))) - MARGIN
+            a, b = c_len[own], f_len[own]
+            most = score(bound(np.minimum(a, len(h_join)), a, len(h_join)), bound(np.minimum(b, len(h_full)), b, len(h_full)), every)
+            on = np.flatnonzero(most >= least)
+            counts = _letter_counts([h_join, h_full])
+            for first in range(0, len(on), 8192):  # so that the counts of a common word's names take bounded memory
+                some = on[first : first + 8192]
+                c = np.minimum(c_count[own[some]], counts[0]).sum(axis=1)
+                f = np.minimum(f_count[own[some]], counts[1]).sum(axis=1)
+                most[some] = score(bound(c, a[some], len(h_join)), bound(f, b[some], len(h_full)), some)
+            on = on[np.argsort(-most[on], kind="stable")]
+            exact: list[tuple[float, int]] = []
+            ratios: dict[tuple[str, str], float] = {}
+
+            def ratio(x: str, y: str, ratios=ratios) -> float:
+                if (x, y) not in ratios:
+                    ratios[x, y] = difflib.SequenceMatcher(None, x, y).ratio()
+                return ratios[x, y]
+
+            for i in on.tolist():
+                if most[i] < least:
+                    break
+                j = own[i]
+                value = float(score(ratio(h_join, joined[j]), ratio(h_full, full[j]), i))
+                least = max(least, value - MARGIN)
+                exact.append((value, at[j]))
+            best = [x for value, x in exact if value >= least]
+            found_t += [h["t"]] * len(best)
+            found_at += best
+    return pa.table({"t": pa.array(found_t, pa.string()), "at": pa.array(found_at, pa.int64())})
+
+
 def _ranked(rest: DataFrame, cols: DataFrame, house: str | None, stage: str, salts: int = 8) -> DataFrame:
     """(hint_id, perfume_id, stage): the item with the best resolution score of each hint, LEAST_SCORE at least, among the items
     of its house or, without one, those that share a word of two letters or more with it in name or brand.

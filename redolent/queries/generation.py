@@ -81,15 +81,17 @@ def resolution_score(spark, d):
     """The best item of each reference by score, 0.6 at least, among all that share a word of their name or have their brand
     (sequence ratios have no SQL counterpart).
 
-    Distinct hints meet distinct pairs of name and brand, of which only the most popular item can win."""
+    Distinct hints meet distinct pairs of name and brand, of which only the most popular item can win, in blocks."""
     refs = cases(spark, d).where("trim(expected_resolved_reference) <> ''").select("id", fold(F.col("expected_resolved_reference")).alias("t")).where("t <> ''")
     name, brand = resolve.split_hint(F.col("t"))
     hints = resolve.with_core(refs.select("t").distinct().select("t", name.alias("hint"), brand.alias("brand_hint")), "hint", "_h")
     own = plain_items(spark, d).where("name_norm <> ''").groupBy("name_norm", "brand_norm").agg(F.max(F.struct("popularity", (-F.col("perfume_id")).alias("minus"))).alias("p"))
     own = resolve.with_core(own.select("name_norm", "brand_norm", "p.popularity", (-F.col("p.minus")).alias("perfume_id")), "name_norm", "_n")
-    keys = lambda words, house: F.explode(F.array_distinct(F.concat(F.split(words, " "), F.array_compact(F.array(F.concat(F.lit("@"), house))))))
-    pairs = hints.select("*", keys("hint", F.col("brand_hint")).alias("w")).join(own.select("*", keys("name_norm", F.col("brand_norm")).alias("w")), "w").where("w <> ''").drop("w").distinct()
-    pairs = materialize(pairs, "pairs")
+    keys = lambda words, house: F.filter(F.array_distinct(F.concat(F.split(words, " "), F.array_compact(F.array(F.concat(F.lit("@"), house))))), lambda w: w != "").alias("keys")
+    hints, own = materialize(hints, "hints"), materialize(own, "names")
+    sizes = [max(2, -(-x.count() // n)) for x, n in ((hints, 2048), (own, 65536))]
+    final = resolve.score_finalists(hints.select("t", "hint", "brand_hint", keys("hint", F.col("brand_hint"))), own.select(F.col("perfume_id").alias("at"), "name_norm", "brand_norm", "popularity", keys("name_norm", F.col("brand_norm"))), *sizes)
+    pairs = materialize(final.join(hints, "t").join(own, F.col("at") == F.col("perfume_id")).drop("at"), "pairs")
     scored = resolve.scored_pairs(pairs, "hint", "brand_hint").withColumn("score", F.round("score", 6)).where(F.col("score") >= resolve.LEAST_SCORE)
     best = scored.groupBy("t").agg(F.max(F.struct("score", "popularity", (-F.col("perfume_id")).alias("minus"))).alias("b"))
     return refs.join(best, "t").select("id", (-F.col("b.minus")).alias("perfume_id"), "b.score")

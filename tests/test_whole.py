@@ -108,3 +108,20 @@ def test_every_source_is_supplemented(spark):
     filled = relational.supplemented_each(spark.createDataFrame(found, "source_id long, perfume_id long, score double"), spark.createDataFrame([(5, 50.0), (6, 90.0), (9, 70.0)], "perfume_id long, score double"), 3)
     rows = {(r.source_id, r["rank"]): (r.perfume_id, r.score) for r in filled.collect()}
     assert rows == {(1, 1): (5, 2.0), (1, 2): (6, 90.0), (1, 3): (9, 70.0), (77, 1): (7, 9.0), (77, 2): (8, 3.0), (77, 3): (6, 1.0)}
+
+
+def test_finalists_hold_the_best_score_of_every_hint_and_few_others(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("aeilnorst", k=rng.randint(1, 6)))
+    names = [(i, " ".join(["rose", word(), rng.choice(["", "edp", "edt", "sport", word()])]).strip(), rng.choice(["zara", "roux", None]), rng.randint(0, 60_000)) for i in range(400)]
+    hints = [(f"t{i}", rng.choice([word(), "rose " + word(), rng.choice(names)[1][:-1], "eau de parfum rose"]), rng.choice(["zara", None, "other"])) for i in range(60)]
+    own = spark.createDataFrame(names, "at long, name_norm string, brand_norm string, popularity long").withColumn("keys", F.split("name_norm", " "))
+    asked = spark.createDataFrame(hints, "t string, hint string, brand_hint string").withColumn("keys", F.split("hint", " "))
+    met = asked.join(own.withColumnRenamed("keys", "other"), F.arrays_overlap("keys", "other"))
+    every = {(r.t, r.at): round(r.score, 6) for r in met.select("t", "at", resolve.resolution_score("hint", "brand_hint").alias("score")).collect()}
+    found = {(r.t, r.at) for r in resolve.score_finalists(asked, own, 2, 3).collect()}
+    best = {}
+    for (t, _), score in every.items():
+        best[t] = max(score, best.get(t, 0.0))
+    assert {k for k, score in every.items() if score == best[k[0]] and score >= 0.6} <= found <= set(every)
+    assert len(best) > 30 and len(found) < len(every) / 20
