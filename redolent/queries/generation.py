@@ -287,9 +287,9 @@ def case_results(spark, d):
 
 @query("j11_specs_all_conditions")
 def specs_all_conditions(spark, d):
-    """Many specifications against all items with every term and condition of each; about 65,536 items and 4,096 cases meet at a time."""
+    """Many specifications against all items with every term and condition of each; about 65,536 items and 16,384 cases meet at a time."""
     own, every = items(spark, d), cases(spark, d)
-    sizes = [max(4, -(-table(spark, d, t).count() // n)) for t, n in (("retrieval_eval_cases", 4096), ("perfumes", 65536))]
+    sizes = [max(4, -(-table(spark, d, t).count() // n)) for t, n in (("retrieval_eval_cases", 16384), ("perfumes", 65536))]
     return evaluate.count_matches(every, own, sizes[0], sizes[1])
 
 

@@ -125,3 +125,13 @@ def test_finalists_hold_the_best_score_of_every_hint_and_few_others(spark):
         best[t] = max(score, best.get(t, 0.0))
     assert {k for k, score in every.items() if score == best[k[0]] and score >= 0.6} <= found <= set(every)
     assert len(best) > 30 and len(found) < len(every) / 20
+
+
+def test_blocks_of_items_are_written_once_however_many_specifications_meet_them(spark):
+    items = spark.range(300).select(F.col("id").alias("perfume_id"), F.lit("Zara").alias("brand"), F.lit("male").alias("gender"), F.array(F.lit("summer")).alias("seasons"), F.array(F.lit("day")).alias("times"), (F.col("id") % 100).alias("popularity"), F.array(F.lit("rose")).alias("accords"), F.array().cast("array<string>").alias("notes"))
+    none = F.lit(None).cast("string")
+    specs = spark.range(40).select(F.col("id").cast("string").alias("id"), F.array(F.lit("Rose")).alias("must_include_any"), *[F.array(none).alias(c) for c in ("must_exclude", "allowed_genders", "excluded_brand_terms")], none.alias("expected_season"), none.alias("expected_time"), F.lit("zara").alias("required_brand"), F.col("id").cast("int").alias("min_popularity"), F.lit(False).alias("allow_low_popularity"))
+    found = evaluate.count_matches(specs, items, 20, 2)
+    assert {int(r.id): r.matches for r in found.collect()} == {i: 3 * (100 - i) for i in range(40)}
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in shuffled and "perfume_id" not in shuffled
