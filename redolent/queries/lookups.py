@@ -89,12 +89,15 @@ SELECT id, gram AS mention FROM g JOIN n ON gram = name_norm"""
 
 @query("q19_ngram_mentions", _NGRAM)
 def ngram_mentions(spark, d):
-    """Catalog names that questions mention: all word windows of 1 to 8 words joined to the names on equality."""
+    """Catalog names that questions mention: all word windows of 1 to 8 words held against the names on equality.
+
+    A semi join, as Spark sizes the windows like the questions they come from and would broadcast them all in another join.
+    """
     words = F.split("folded", " ")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
     grams = cases(spark, d).where("query IS NOT NULL").select("id", fold(F.col("query")).alias("folded")).select("id", words.alias("w")).select("id", F.explode(F.array_distinct(spans)).alias("mention"))
     names = plain_items(spark, d).where(F.length("name_norm") >= 4).select(F.col("name_norm").alias("mention")).distinct()
-    return grams.join(names, "mention").select("id", "mention")
+    return grams.join(names, "mention", "left_semi").select("id", "mention")
 
 
 @query("q20_labels", f"WITH {PLAIN} SELECT DISTINCT name || ' by ' || brand AS label FROM items WHERE name IS NOT NULL AND brand IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redolent.functions import text
 from redolent.operators import evaluate, relational, resolve
+from redolent.queries import QUERIES
 
 
 @pytest.mark.parametrize("most", [2, 8])
@@ -135,3 +136,23 @@ def test_blocks_of_items_are_written_once_however_many_specifications_meet_them(
     assert {int(r.id): r.matches for r in found.collect()} == {i: 3 * (100 - i) for i in range(40)}
     shuffled = found._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in shuffled and "perfume_id" not in shuffled
+
+
+def broadcasts_windows(df):
+    """Whether a plan sends exploded rows to the driver: Spark takes them to be as few as the rows they are made of."""
+    above = None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = None if above is not None and depth <= above else above
+        if above is not None and "Generate" in line:
+            return True
+        if "BroadcastExchange" in line and above is None:
+            above = depth
+    return False
+
+
+def test_word_windows_of_questions_are_not_broadcast(spark, tmp_path):
+    many = [(i, f"amber {i} {'rose ' * 40}", "dior", None) for i in range(2000)]
+    spark.createDataFrame(many, "perfume_id long, name_norm string, brand_norm string, ingested_at timestamp").selectExpr("*", "0 AS popularity", "'' AS gender").write.parquet(f"{tmp_path}/perfumes.parquet")
+    spark.createDataFrame([("a", f"like Amber 7 {'rose ' * 40}")], "id string, query string").write.parquet(f"{tmp_path}/retrieval_eval_cases.parquet")
+    assert not broadcasts_windows(QUERIES["q19_ngram_mentions"](spark, str(tmp_path)))
