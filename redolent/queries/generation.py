@@ -163,14 +163,18 @@ _SPANS = f"WITH {PLAIN}, {CASES}, w AS (SELECT id, string_split({FOLD.format('qu
 
 @query("w20_longest_mentions", _SPANS + " SELECT id, first, mention FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = m.id AND o.n > m.n AND o.first <= m.first AND o.first + o.n >= m.first + m.n)")
 def longest_mentions(spark, d):
-    """Mentions of names in questions, less those inside a longer one."""
+    """Mentions of names in questions, less those inside a longer one.
+
+    Names are met by a semi join, so that no windows are broadcast. Of the mentions of a question in order, the longer first
+    where two begin at one word, one is inside another if an earlier one ends no sooner than it.
+    """
     own = cases(spark, d).where("query IS NOT NULL").select("id", F.split(fold(F.col("query")), " ").alias("w"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.struct(i.alias("first"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("mention")))))
     names = plain_items(spark, d).where(F.length("name_norm") >= 4).select(F.col("name_norm").alias("mention")).distinct()
-    m = own.select("id", F.inline(spans)).join(names, "mention")
-    o = m.select(F.col("id").alias("oid"), F.col("first").alias("of"), F.col("n").alias("on"))
-    inside = (F.col("id") == F.col("oid")) & (F.col("on") > F.col("n")) & (F.col("of") <= F.col("first")) & (F.col("of") + F.col("on") >= F.col("first") + F.col("n"))
-    return m.join(o, inside, "left_anti").select("id", F.col("first").cast("long").alias("first"), "mention")
+    m = own.select("id", F.inline(spans)).join(names, "mention", "left_semi").withColumn("_end", F.col("first") + F.col("n"))
+    before = Window.partitionBy("id").orderBy("first", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_upto", F.max("_end").over(before)).where("_upto IS NULL OR _upto < _end")
+    return m.select("id", F.col("first").cast("long").alias("first"), "mention")
 
 
 @query("w12_review_order", f"WITH {PAIRS}, p AS (SELECT sample_id, CASE WHEN coalesce(trim(answer), '') = '' THEN 0 WHEN length(answer) < 60 THEN 1 ELSE 2 END AS priority FROM pairs) SELECT sample_id, priority::INT AS priority FROM p ORDER BY priority, sample_id LIMIT 50")

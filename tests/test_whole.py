@@ -151,8 +151,20 @@ def broadcasts_windows(df):
     return False
 
 
-def test_word_windows_of_questions_are_not_broadcast(spark, tmp_path):
-    many = [(i, f"amber {i} {'rose ' * 40}", "dior", None) for i in range(2000)]
+@pytest.fixture
+def asked(spark, tmp_path):
+    """A folder of many items and one long question."""
+    many = [(i, f"amber {i} {'rose ' * 40}", f"house {i}", None) for i in range(2000)] + [(9000 + i, n, "maison noir", None) for i, n in enumerate(("noir", "bois noir", "bois noir blanc", "noir blanc", "blanc", "blanc rose"))]
     spark.createDataFrame(many, "perfume_id long, name_norm string, brand_norm string, ingested_at timestamp").selectExpr("*", "0 AS popularity", "'' AS gender").write.parquet(f"{tmp_path}/perfumes.parquet")
-    spark.createDataFrame([("a", f"like Amber 7 {'rose ' * 40}")], "id string, query string").write.parquet(f"{tmp_path}/retrieval_eval_cases.parquet")
-    assert not broadcasts_windows(QUERIES["q19_ngram_mentions"](spark, str(tmp_path)))
+    spark.createDataFrame([("a", f"Noir, Maison Noir: Bois Noir Blanc {'rose ' * 40}")], "id string, query string").write.parquet(f"{tmp_path}/retrieval_eval_cases.parquet")
+    return str(tmp_path)
+
+
+def test_word_windows_of_questions_are_not_broadcast(spark, asked):
+    assert not broadcasts_windows(QUERIES["q19_ngram_mentions"](spark, asked))
+
+
+def test_longest_mentions_broadcast_no_windows_and_keep_what_overlaps(spark, asked):
+    found = QUERIES["w20_longest_mentions"](spark, asked)
+    assert not broadcasts_windows(found)
+    assert {tuple(r) for r in found.collect()} == {("a", 1, "noir"), ("a", 3, "noir"), ("a", 4, "bois noir blanc"), ("a", 6, "blanc rose")}
