@@ -219,11 +219,14 @@ def edge_brand(spark, d):
 
 @query("e11_brand_collision", f"WITH {PLAIN}, {CASES}, b AS (SELECT DISTINCT brand_norm FROM items WHERE length(brand_norm) >= 4), w AS (SELECT id, string_split({FOLD.format('query')}, ' ') AS t FROM cases WHERE query IS NOT NULL), g AS (SELECT DISTINCT id, array_to_string(t[i:i + n - 1], ' ') AS gram FROM w, range(1, 60) p(i), range(1, 9) r(n) WHERE i + n - 1 <= len(t)) SELECT id, brand_norm FROM g JOIN b ON gram = brand_norm")
 def brand_collision(spark, d):
-    """Brands that a question happens to mention, found by word windows instead of comparing each question with each brand."""
+    """Brands that a question happens to mention, found by word windows instead of comparing each question with each brand.
+
+    A semi join, so that no windows are broadcast.
+    """
     own = cases(spark, d).where("query IS NOT NULL").select("id", F.split(fold(F.col("query")), " ").alias("w"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
     brands = plain_items(spark, d).where(F.length("brand_norm") >= 4).select("brand_norm").distinct()
-    return own.select("id", F.explode(F.array_distinct(spans)).alias("brand_norm")).join(brands, "brand_norm").select("id", "brand_norm")
+    return own.select("id", F.explode(F.array_distinct(spans)).alias("brand_norm")).join(brands, "brand_norm", "left_semi").select("id", "brand_norm")
 
 
 @query("j03_enrich_metadata", f"WITH {PLAIN}, {EDGES} SELECT source_id, target_id, coalesce(p.year, -1)::BIGINT AS year, coalesce(p.longevity, 0.0) AS longevity FROM edges LEFT JOIN items p ON p.perfume_id = target_id")

@@ -168,3 +168,9 @@ def test_longest_mentions_broadcast_no_windows_and_keep_what_overlaps(spark, ask
     found = QUERIES["w20_longest_mentions"](spark, asked)
     assert not broadcasts_windows(found)
     assert {tuple(r) for r in found.collect()} == {("a", 1, "noir"), ("a", 3, "noir"), ("a", 4, "bois noir blanc"), ("a", 6, "blanc rose")}
+
+
+def test_brand_collisions_broadcast_no_windows(spark, asked):
+    found = QUERIES["e11_brand_collision"](spark, asked)
+    assert not broadcasts_windows(found)
+    assert [tuple(r) for r in found.collect()] == [("a", "maison noir")]
