@@ -10,6 +10,10 @@ all but a few members in common, so they share three among the few rarest of eac
 every match is verified. Where many sets share a triple it is lengthened by two members: partners that share a key of three
 members among their rarest also share one of five that holds it, among two members more.
 
+Before any of that, sets without a partner are mostly left out: members are dealt into a few more parts by hash than two
+partners can differ in members, so partners agree on whole parts, and only sets go on that have such parts in common with
+another set. The hashes of the parts are all that is shuffled for it, and chance agreements do no harm.
+
 Equal sets are one class and are joined once. Cells that outgrow a task are split by the hash of keys of five members, which
 loses nothing, as partners share such a key, and which deals the sets of a hot triple over many tasks.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from redolent.functions.text import folded_items
 from redolent.llm.term_frequency import latest
-from redolent.session import materialize, slots
+from redolent.session import materialize, slots, spread
 
 #: Members in a matching key: two sets above the threshold share at least so many of their rarest members. WIDE: of the keys that split a cell.
 KEY, WIDE = 3, 5
@@ -36,6 +40,9 @@ HOT = 400
 CELL, KEYS = 600_000, 2_000_000
 #: Terms above this share of all sets are ranked by their count; there can be at most mean size / share of them.
 RANKED_SHARE = 0.0005
+#: How many parts must agree by differing members, up to TWO_PARTS two else, beyond it one. Keys of parts in a bucket, bits of the
+#: filter for a set and in all at most; sets above which those left are dealt into other parts again, and how often in all.
+AGREE, TWO_PARTS, BUCKET, BITS, MOST_BITS, AGAIN, ROUNDS = {1: 4, 2: 4, 3: 3, 4: 3}, 10, 1_500_000, 64, 1 << 29, 20_000, 3
 
 
 def reach(overlap: np.ndarray, size: np.ndarray, pivot_size: np.ndarray, home: np.ndarray, similarity: float) -> np.ndarray:
@@ -209,14 +216,110 @@ def _match_keys(ids: np.ndarray, home: np.ndarray, sizes: np.ndarray, sets: np.n
         at = upto
 
 
+def _apart(size: int, similarity: float) -> list[int]:
+    """How many members a set and a larger or equal partner can differ in, by the sizes that partner can have; large numbers rounded up to a few."""
+    out = set()
+    for most in range(size, int(np.floor(size / similarity + 1e-9)) + 1):
+        d = int(np.floor((1 - similarity) / (1 + similarity) * 2 * most + 1e-9))
+        step = 1 << max(0, d.bit_length() - 3)
+        out.add(d if d <= TWO_PARTS else -(-d // step) * step)
+    return sorted(out)
+
+
+def _part_keys(flat: np.ndarray, offsets: np.ndarray, similarity: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each): any two different sets at or above the similarity have a key in common.
+
+    If they differ in d members at most, they agree on one of d + 1 parts of all terms, on two of d + 2, and so on. The larger
+    set's size says what d is, so a smaller one has the keys for each size that a larger partner can have."""
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    of = {n: _apart(n, similarity) for n in np.unique(sizes).tolist()}
+    keys, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for d in sorted({d for ds in of.values() for d in ds}):
+        own = np.flatnonzero(np.isin(sizes, [n for n, ds in of.items() if d in ds]))
+        at = np.full(len(sizes), -1, dtype=np.int64)
+        at[own] = np.arange(len(own))
+        mine = at[row] >= 0
+        agree, members = AGREE.get(d, 2 if d <= TWO_PARTS else 1), flat[mine]
+        parts = d + agree
+        h = _hash(_hash(np.full(len(members), d + 1 + (seed << 32), dtype=np.uint64), members), members)
+        sums = np.zeros(len(own) * parts, dtype=np.uint64)
+        np.add.at(sums, at[row[mine]] * parts + (h >> np.uint64(32)).astype(np.int64) % parts, _hash(h, members))
+        sums = sums.reshape(len(own), parts)
+        for combo in combinations(range(parts), agree):
+            key = np.full(len(own), d + 1, dtype=np.uint64)
+            for c in combo:
+                key = _hash(_hash(key, np.full(len(own), c + 1, dtype=np.int64)), sums[:, c].view(np.int64))
+            keys.append(key)
+            rows.append(own)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def with_partners(sets: DataFrame, n: int, similarity: float, seed: int = 0) -> DataFrame:
+    """The sets that share a key of parts with another one: all that have a partner, and not many others. seed: deals the parts.
+
+    sets (n rows of id, members) is read twice. Keys are shuffled as 32 bits each and packed; which of them came twice is kept
+    in a filter of fixed size, made of a piece for each bucket, so a key taken for another lets one set more through."""
+    buckets = max(slots(sets.sparkSession), n * 25 // BUCKET)
+    bits = max(8, min(n * BITS, MOST_BITS) // buckets // 8 * 8)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4000):
+                yield whole.slice(start, 4000)
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, row = _part_keys(*_lists(batch.column(1)), similarity, seed)
+        return (key % np.uint64(buckets)).astype(np.int32), (key // np.uint64(buckets)).astype(np.uint32), row
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            bucket, key, _ = keyed(batch)
+            order = np.argsort(bucket, kind="stable")
+            bucket, key = bucket[order], key[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+            packed = [key[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(packed, pa.binary())], names=["bucket", "keys"])
+
+    def twice(data: pa.Table) -> pa.Table:
+        key = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in data.column("keys").to_pylist()]))
+        hit = np.zeros(bits, dtype=bool)
+        hit[key[1:][key[1:] == key[:-1]] % bits] = True
+        return pa.table({"bucket": data.column("bucket").slice(0, 1), "hit": pa.array([np.packbits(hit).tobytes()], pa.binary())})
+
+    own = spread(sets)
+    hits = np.zeros((buckets, bits // 8), dtype=np.uint8)
+    for r in own.mapInArrow(emit, "bucket int, keys binary").groupBy("bucket").applyInArrow(twice, "bucket int, hit binary").collect():
+        hits[r.bucket] = np.frombuffer(r.hit, dtype=np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(hits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            bucket, key, row = keyed(batch)
+            at = key % np.uint32(bits)
+            met = shared.value[bucket, at >> np.uint32(3)] << (at & np.uint32(7)).astype(np.uint8) & 128 > 0
+            yield batch.filter(pa.array(np.bincount(row[met], minlength=batch.num_rows) > 0))
+
+    return own.mapInArrow(keep, "id long, members array<long>")
+
+
 def similar_classes(sets: DataFrame, similarity: float = 0.8, pivots: int | None = None) -> DataFrame:
     """(a, b): ids of all pairs of different sets at or above the Jaccard similarity, a < b.
 
-    sets: (id long, members array<long>), ids unique and members distinct, no two sets equal. Sets with fewer than KEY
-    members are joined too (their key is all of their members).
+    sets: (id long, members array<long>), ids unique and members distinct, no two sets equal; read three times, so best
+    a table. Sets with fewer than KEY members are joined too (their key is all of their members).
     """
     spark = sets.sparkSession
-    own = materialize(sets.select("id", "members").where(F.size("members") > 0), "sets")
+    own = sets.select("id", "members").where(F.size("members") > 0)
+    n = own.count()
+    for seed in range(ROUNDS):  # another seed leaves out those that met by chance
+        if seed and n <= AGAIN:
+            break
+        before = n
+        own = materialize(with_partners(own, n, similarity, seed), "sets")
+        n = own.count()
+        if n > 0.8 * before:
+            break
     size = own.agg(F.count("*").alias("n"), F.min(F.size("members")).alias("least")).first()
     n, least = size.n, size.least
     if not n:
@@ -304,9 +407,9 @@ def set_classes(df: DataFrame, key: str, fields: list[str], loaded: str | None =
     members = F.concat(*[hashed(i, f) for i, f in enumerate(fields)])
     sets = latest(df, key, fields, loaded).select(F.col(key).cast("long").alias("id"), F.array_sort(F.array_distinct(members)).alias("members"))
     sets = materialize(sets.where(F.size("members") >= least), "members")
-    classes = sets.groupBy("members").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
-    # the key is the hash of the members, so that no long key is shuffled twice; members are compared as well
-    own = sets.withColumn("h", F.xxhash64("members")).join(classes.withColumn("h", F.xxhash64("members")), ["h", "members"])
+    # the key is 128 bits of hash, so that the members are shuffled once only
+    keyed = sets.select("*", F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("g"))
+    own = keyed.join(keyed.groupBy("h", "g").agg(F.min("id").alias("cls"), F.count("*").alias("copies")), ["h", "g"])
     return materialize(own.select("id", "members", "cls", "copies"), "classes")
 
 

@@ -577,3 +577,36 @@ def test_defects_without_labelled_documents(spark):
     rows = [(1, "user", QUESTION, "train"), (1, "model", "I must refuse to pick anything for you.", "train"), (2, "user", QUESTION, "train"), (2, "model", "Il profumo è secco e morbido, con molto muschio e poca rosa.", "train")]
     got = {r.sample_id: r.defect for r in qa_defects.defective_pairs(messages(spark, rows), model).collect()}
     assert got == {1: "refusal"}  # a model without text tells no languages apart
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_partners_share_a_key_of_parts(similarity):
+    import numpy as np
+
+    rng = random.Random(8)
+    for seed in range(2):
+        for n in (1, 2, 6, 9, 14, 17, 23, 40, 75, 130):
+            for _ in range(30):
+                a = rng.sample(range(10**9), n)
+                b = a[rng.randint(0, max(0, n // 8)) :] + rng.sample(range(10**9), rng.randint(0, max(1, n // 8)))
+                flat, offsets = np.array(a + b, dtype=np.int64), np.array([0, len(a), len(a) + len(b)])
+                key, row = setjoin._part_keys(flat, offsets, similarity, seed)
+                if b and set(a) != set(b) and len(set(a) & set(b)) >= similarity * len(set(a) | set(b)):
+                    assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_sets_without_a_partner_are_not_copied_to_cells(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, ",".join(rng.sample([f"t{k}" for k in range(5000)], 15)), None, 1) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + ",more", None, 1) for i in range(10)]
+    written = {}
+
+    def counted(df, name, f=setjoin.materialize):
+        out = f(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(setjoin, "materialize", counted)
+    got = {(r.id_a, r.id_b) for r in setjoin.similar_pairs(perfumes(spark, rows), "perfume_id", ["accords_csv", "notes_csv"], "ingested_at").collect()}
+    assert got == {(i, 1000 + i) for i in range(10)}
+    assert written["classes"] == 610 and written["sets"] < 305
